@@ -45,17 +45,18 @@ def exact_patterns(lengths: np.ndarray, total: int) -> np.ndarray:
 
 
 def fit_counts(patterns: np.ndarray, histogram: np.ndarray) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise ``|A x - histogram|`` (active-set method, several patterns a round).
+    """Repeat counts x >= 0 that minimise ``|W (A x - histogram)|`` (active-set method, several patterns a round).
 
+    W weighs a length by its square: what is left over should be short pieces, which fit anywhere.
     Any x is valid for what follows; the rounds are limited and so is the closeness, never the result's rightness.
     """
     n = len(patterns)
     x = np.zeros(n)
     if not n:
         return x
-    target = histogram.astype(float).copy()
-    target[0] = 0.0
-    tolerance = max(1.0, 1e-6 * target.sum())
+    weight = (np.arange(len(histogram)) / (len(histogram) - 1.0)) ** 2
+    target = histogram * weight
+    tolerance = max(0.25, 1e-6 * target.sum())
     active: list[int] = []
     column = np.zeros((0, len(target)))
 
@@ -63,12 +64,11 @@ def fit_counts(patterns: np.ndarray, histogram: np.ndarray) -> np.ndarray:
         m = np.zeros((len(which), len(target)))
         for j in range(3):
             np.add.at(m, (np.arange(len(which)), patterns[which, j]), 1.0)
-        m[:, 0] = 0.0
-        return m
+        return m * weight
 
     for _ in range(FIT_ROUNDS):
         left = target - x[active] @ column if active else target
-        gain = left[patterns].sum(axis=1) if left[0] == 0 else (left * (np.arange(len(left)) > 0))[patterns].sum(axis=1)
+        gain = (left * weight)[patterns].sum(axis=1)
         gain[active] = -np.inf
         best = np.argsort(-gain, kind="stable")[: 16 * FIT_STEP]
         best = best[gain[best] > tolerance]
@@ -124,10 +124,10 @@ def plan(histogram: dict[int, int], max_tokens: int = MAX_TOKENS) -> list[tuple[
     patterns = exact_patterns(np.flatnonzero(left), max_tokens)
     x = fit_counts(patterns, left)
     for p in np.argsort(-x, kind="stable"):
-        if x[p] < 1 - 1e-6:
+        if x[p] < 0.5:
             break
         own = [int(v) for v in patterns[p] if v]
-        repeat = min(int(x[p] + 1e-6), *(int(left[v]) // own.count(v) for v in own))
+        repeat = min(round(x[p]), *(int(left[v]) // own.count(v) for v in own))
         if repeat > 0:
             offset = 0
             for v in reversed(own):
