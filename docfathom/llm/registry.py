@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
 from .packing import op1_pack
+from .quality_rules import op10_quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_pack": op1_pack,
         "op2_bpe": op2_bpe,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
