@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
+from .ngram_join import op4_ngram_join
 from .packing import op1_pack
 from .quality_rules import op10_quality_rules
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_pack": op1_pack,
         "op2_bpe": op2_bpe,
+        "op4_ngram_join": op4_ngram_join,
         "op10_quality_rules": op10_quality_rules,
     }
 

@@ -23,7 +23,7 @@ def shingle_sets(block: Block, size: int) -> Iterator[np.ndarray]:
     start, end, first = words(data, block.off)
     h = range_hash(prefix_hash(data), start, end)
     full = max(0, len(h) - size + 1)
-    acc = np.full(full, _U(size) * _K[-1])
+    acc = np.full(full, size * int(_K[-1]) & 0xFFFFFFFFFFFFFFFF, np.uint64)
     for i in range(size):
         acc += h[i : i + full] * _K[i]
     acc = mix(acc)
