@@ -11,6 +11,7 @@ from .ngram_join import op4_ngram_join
 from .packing import op1_pack
 from .quality_rules import op10_quality_rules
 from .suffix_dedup import op6_suffix_dedup
+from .vector_search import op5_ann
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op1_pack": op1_pack,
         "op2_bpe": op2_bpe,
         "op4_ngram_join": op4_ngram_join,
+        "op5_ann": op5_ann,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op10_quality_rules": op10_quality_rules,
     }
