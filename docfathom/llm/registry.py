@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op2_bpe
 from .ngram_join import op4_ngram_join
 from .packing import op1_pack
+from .quality_knn import op7_quality_knn
 from .quality_rules import op10_quality_rules
 from .suffix_dedup import op6_suffix_dedup
+from .toxicity import op8_toxicity
 from .vector_search import op5_ann
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +25,8 @@ def queries() -> dict[str, Query]:
         "op4_ngram_join": op4_ngram_join,
         "op5_ann": op5_ann,
         "op6_suffix_dedup": op6_suffix_dedup,
+        "op7_quality_knn": op7_quality_knn,
+        "op8_toxicity": op8_toxicity,
         "op10_quality_rules": op10_quality_rules,
     }
 
