@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op2_bpe
 from .ngram_join import op4_ngram_join
 from .packing import op1_pack
+from .personal_data import op9_personal_data
 from .quality_knn import op7_quality_knn
 from .quality_rules import op10_quality_rules
 from .suffix_dedup import op6_suffix_dedup
@@ -27,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_quality_knn": op7_quality_knn,
         "op8_toxicity": op8_toxicity,
+        "op9_personal_data": op9_personal_data,
         "op10_quality_rules": op10_quality_rules,
     }
 
