@@ -137,6 +137,18 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     return scored.select(key, F.coalesce(fold(key, folds) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` predicts to be good, as they are; texts stay where they are read."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, label, fold(key, folds) == 0, sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, text, 1 << 20):
+            scores = np.concatenate([model.value.score(term_vectors(part)) for part in parts(block)])
+            yield block.batch.slice(block.lo, len(block)).filter(pa.array(scores >= ACCEPT))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def parts(block: Block, rows: int = 512) -> Iterator[Block]:
     """A block by at most ``rows`` rows: many short texts would make wide tables."""
     for lo in range(0, len(block), rows):

@@ -324,27 +324,29 @@ def _sorted_runs(window: int):
     return run
 
 
-def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = True) -> DataFrame:
+def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove from every whole text, as UTF-8 bytes, what a ``window``-byte string that also starts earlier covers.
 
     Earlier is a smaller key, or the same key and an earlier start; a null key comes before all others.
     Strings are judged on the input.  Returns one row per row of ``df``: the key, ``n_bytes``, ``n_removed``,
     ``n_spans`` (maximal removed runs), ``kept_sha256`` (of the remaining bytes) and, if ``with_text``, ``kept``
-    (the remaining text; characters cut in two are dropped).  A null or empty text has no bytes.  Repeated rows count
+    (the remaining text; characters cut in two are dropped), and the columns in ``carry`` as they are.  A null or empty text has no bytes.  Repeated rows count
     as one document; different texts under one key are one document whose texts start together.
     Other columns are ignored; an empty table gives no rows.
     """
     if window < GRAM + 1 or window > GRAM + 95:
         raise ValueError(f"window must be {GRAM + 1} to {GRAM + 95} bytes")
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY)).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    runs = docs.mapInArrow(_runs(window, GRAM), _RUN).repartition("h")
+    carried = [f"__c{i}" for i in range(len(carry))]
+    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY)).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"), *(F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)))
+    runs = docs.select("__key", "__text").mapInArrow(_runs(window, GRAM), _RUN).repartition("h")
     found = stored(runs.mapInArrow(_repeats(window), _FOUND))
     asked = found.filter("kind > 0").groupBy("key").agg(F.collect_list(F.struct("kind", "h", "mark", "start", "end", "anchor")).alias("asked"))
     dealt = docs.repartition("__key")
-    answers = dealt.join(asked, dealt["__key"] == asked["key"]).select("__key", "__text", "asked").mapInArrow(_answers(window), _ANSWER)
+    answers = dealt.join(asked, dealt["__key"] == asked["key"]).select("__key", "__text", "asked", *carried).mapInArrow(_answers(window), _ANSWER)
     more = answers.repartition("h").mapInArrow(_sorted_runs(window), _FOUND)
     spans = found.filter("kind = 0").unionByName(more).groupBy(F.col("key").alias("__of")).agg(F.collect_list(F.struct("mark", "start", "end")).alias("spans"))
     schema = f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
+    schema = ", ".join([schema, *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "__text", SEGMENT):
@@ -366,9 +368,10 @@ def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", win
                 out.append((None if k == _NO_KEY else k, b - a, removed, n, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
             columns = list(zip(*out, strict=True))
             types = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(columns, types, strict=True)][: 5 + with_text], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
+            arrays = [pa.array(x, type=t) for x, t in zip(columns, types, strict=True)][: 5 + with_text]
+            yield pa.RecordBatch.from_arrays(arrays + [block.column(c) for c in carried], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text] + list(carry))
 
-    return dealt.join(spans, dealt["__key"] == spans["__of"], "left").select("__key", "__text", "spans").mapInArrow(cut, schema)
+    return dealt.join(spans, dealt["__key"] == spans["__of"], "left").select("__key", "__text", "spans", *carried).mapInArrow(cut, schema)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
