@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import audit, retrieval, stateful  # noqa: F401  they register their queries
+from .base import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
