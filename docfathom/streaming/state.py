@@ -81,13 +81,14 @@ def fold_memory(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) ->
         record, outcome = apply_update(record, update)
         out.append((str(key[0]), record["version"], outcome, len(record["messages"]), ",".join(record["topics"])))
     state.update((json.dumps(record),))
-    state.setTimeoutDuration(MEMORY_DAYS * 86_400_000)
+    until = int(rows["at"].max().timestamp() * 1000) + MEMORY_DAYS * 86_400_000
+    state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame(out, columns=["key", "version", "outcome", "messages", "topics"])
 
 
 def memory(updates: DataFrame) -> DataFrame:
     """A stream of updates (key, at, action, request_id, message, topic, expected) to the versions they lead to."""
-    return updates.groupBy("key").applyInPandasWithState(fold_memory, MEMORY_OUT, "record string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return updates.withWatermark("at", "1 hour").groupBy("key").applyInPandasWithState(fold_memory, MEMORY_OUT, "record string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
