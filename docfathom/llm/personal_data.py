@@ -41,6 +41,8 @@ FOR_IT = r"(?i)\b(?:card|visa|mastercard|amex|credit|tel|phone|call|mobile|cell|
 AGAINST_IT = r"(?i)\b(?:version|isbn|order|invoice|license|section|serial|token|hash|sku|ref|release|build|figure|table)\b"
 #: Characters of context before and after.
 BEFORE, AFTER = 24, 4
+#: Number of features of a proposal.
+FEATURES = 16
 #: Precision on held-out examples that the threshold is calibrated for.
 PRECISION = 0.99
 
@@ -213,7 +215,9 @@ def find_spans(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc
         .withColumn("end", F.col("start") + F.length("m"))
     )
     spans = placed.withColumn("code", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1)
-    odds = log_odds_column(trees, features(F.col("kind"), F.col("m"), F.col("tail"), F.coalesce("after", F.lit(""))))
+    # One array, used by all trees: written out in each of their nodes, the features would swell the plan.
+    spans = spans.withColumn("x", F.when(F.col("m").isNotNull() & (F.col("source") == 1), F.array(*features(F.col("kind"), F.col("m"), F.col("tail"), F.coalesce("after", F.lit(""))))))
+    odds = log_odds_column(trees, [F.col("x")[j] for j in range(FEATURES)])
     base_ok = F.col("m").isNotNull() & (F.col("source") == 0) & valid(F.col("kind"), F.col("m"))
     more_ok = F.when(F.col("m").isNotNull() & (F.col("source") == 1), odds >= threshold)
     one = F.struct("start", "code", "end")
