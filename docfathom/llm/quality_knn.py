@@ -19,7 +19,7 @@ from .labelled import fold, learnable, sampled
 from .textblocks import Block, blocks, prefix_hash, range_hash, words
 
 #: Labelled rows learnt from at most; terms; dimensions; neighbours; power of the similarity that weighs a vote.
-SAMPLE, TERMS, DIMENSIONS, NEIGHBOURS, POWER = 4000, 2048, 48, 15, 8
+SAMPLE, TERMS, DIMENSIONS, NEIGHBOURS, POWER = 2500, 1024, 48, 15, 8
 #: Share of a text's weight that repeated words can have; score from which a text is accepted.
 REPEAT_WEIGHT, ACCEPT = 1.0, 0.3
 SEED = 5
