@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
 from .ngram_join import op4_ngram_join
+from .oracles import OP4, OP6
 from .packing import op1_pack
 from .personal_data import op9_personal_data
 from .quality_knn import op7_quality_knn
@@ -34,4 +35,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_ngram_join": OP4, "op6_suffix_dedup": OP6}
