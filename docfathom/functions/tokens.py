@@ -42,19 +42,20 @@ def split_by_budget(text: str | None, most: int) -> list[str]:
     if len(units) <= 1:
         units = [u for u in whole.split("\n") if u]
     out: list[str] = []
-    held = ""
+    held, size = "", 0  # sizes add up: no piece reaches over the blank line between units
     for unit in units:
-        if estimate(unit) > most:
+        n = estimate(unit)
+        if n > most:
             if held.strip():
                 out.append(held.strip())
             *cut, held = _hard_split(unit, most)
             out += cut
+            size = estimate(held)
             continue
-        joined = f"{held}\n\n{unit}" if held else unit
-        if held and estimate(joined) > most:
+        if held and size + n > most:
             out.append(held.strip())
-            joined = unit
-        held = joined
+            held, size = "", 0
+        held, size = f"{held}\n\n{unit}" if held else unit, size + n
     return [*out, held.strip()] if held.strip() else out
 
 
@@ -62,7 +63,9 @@ def _hard_split(rest: str, most: int) -> list[str]:
     """Pieces within the budget; the last is what remains (maybe empty)."""
     out = []
     while rest and estimate(rest) > most:
-        low, high = 1, len(rest)
+        low, high = 1, min(len(rest), 4 * most)
+        while high < len(rest) and estimate(rest[:high]) <= most:
+            low, high = high, min(len(rest), 2 * high)
         while low < high:  # the longest beginning that fits
             middle = (low + high + 1) // 2
             low, high = (middle, high) if estimate(rest[:middle]) <= most else (low, middle - 1)

@@ -198,21 +198,24 @@ def _by_lines(block: Block, most: int, reason: str, head: str | None, exact: boo
     put = lambda part: "\n".join([head, *part] if head is not None else part).rstrip()
     out: list[Block] = []
     part: list[str] = []
-    begin = 0
+    lead = estimate(head)
+    begin, size = 0, lead
 
     def close(end: int) -> None:
-        nonlocal part, begin
+        nonlocal part, begin, size
         if put(part).strip() and part:
-            n = estimate(put(part))
+            n = size
             where = {"start": block.start + begin, "end": min(block.end, block.start + end - 1)} if exact else {}
             out.append(replace(block, content=put(part), tokens=n, overflow=reason if n > most else None, **where))
-        part, begin = [], end
+        part, begin, size = [], end, lead
 
     for i, line in enumerate(body):
-        if part and estimate(put([*part, line])) > most:
+        n = estimate(line)
+        if part and size + n > most:
             close(i)
         part.append(line)
-        if estimate(put(part)) > most:
+        size += n
+        if size > most:
             close(i + 1)
     close(len(body))
     return out
@@ -241,6 +244,9 @@ def chunk_section(section: Section, profile: str) -> list[dict]:
     held: list[Block] = []
     waiting = False  # a formula's explanation
 
+    def size(units: list[Block]) -> int:
+        return sum(u.tokens for u in units)
+
     def text_of(units: list[Block]) -> str:
         return "\n\n".join(u.content for u in units if u.content).strip()
 
@@ -250,7 +256,7 @@ def chunk_section(section: Section, profile: str) -> list[dict]:
         content = units[0].content if alone else text_of(units)
         out.append({
             "content": content, "block_types": kinds, "start": min(u.start for u in units), "end": max(u.end for u in units), "chunk_type": kind,
-            "tokens": estimate(content), "overflow": next((u.overflow for u in units if u.overflow), None),
+            "tokens": sum(u.tokens for u in units), "overflow": next((u.overflow for u in units if u.overflow), None),
         })
 
     def close(keep: bool) -> None:
@@ -276,9 +282,10 @@ def chunk_section(section: Section, profile: str) -> list[dict]:
                 close(False)
                 emit([unit], True)
                 continue
-            if held and estimate(text_of([*held, unit])) > most:
+            # Sizes add up: no token reaches over the blank line between units.
+            if held and size(held) + unit.tokens > most:
                 close(True)
-            if held and estimate(text_of([*held, unit])) > most:
+            if held and size(held) + unit.tokens > most:
                 held = []
             held.append(unit)
             if waiting and unit.type != "formula":
@@ -287,7 +294,7 @@ def chunk_section(section: Section, profile: str) -> list[dict]:
                 waiting = True
                 if unit.overflow:
                     close(False)
-            elif estimate(text_of(held)) >= target:
+            elif size(held) >= target:
                 close(True)
     close(False)
     return out
