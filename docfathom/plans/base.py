@@ -30,10 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores if the table has fewer files than there are: a file of one row group is one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks: the first sentence is the title, the language a tag, the source a category."""
     first = F.trim(F.regexp_extract("text", r"^[^.\n]*", 0))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.concat(F.lit("doc_"), F.col("doc_id")).alias("id"), F.col("doc_id").alias("position"), F.when(first == "", "untitled").otherwise(first).alias("title"),
         F.concat(F.lit("/d/"), F.col("doc_id"), F.lit("/")).alias("url"), F.array("lang").alias("tags"), F.array("source").alias("categories"), F.lit("").alias("section"), F.col("text").alias("content"),
         "lang", "source",
