@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
+from .compact_windows import op3_compact_windows
 from .ngram_join import op4_ngram_join
 from .oracles import OP4, OP6
 from .packing import op1_pack
@@ -24,6 +25,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_pack": op1_pack,
         "op2_bpe": op2_bpe,
+        "op3_compact_windows": op3_compact_windows,
         "op4_ngram_join": op4_ngram_join,
         "op5_ann": op5_ann,
         "op6_suffix_dedup": op6_suffix_dedup,
