@@ -333,25 +333,18 @@ def verified_links(t: Threshold, levels):
     return run
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """Groups of documents whose sets of ``size``-word shingles reach the Jaccard ``threshold`` (a fraction), by links.
-
-    Returns one row per document: the key, ``n_shingles`` (long) and ``component_id``, the
-    smallest key that links reach, itself included.  All links count; a document without words has
-    an empty set and is linked with nothing; null texts are empty.  Rows with equal texts are linked, and
-    repeated rows give repeated rows.  A null key stays null and its document counts as a link but is never a
-    group's id.  Other columns are ignored.  An empty table gives no rows.
-    """
-    spark = df.sparkSession
+def grouped_rows(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """One row for each of ``docs`` (``__key``, ``__text`` and strings that are carried): ``n``, its group's ``root`` and ``component_id``, null without words."""
+    spark = docs.sparkSession
     t = Threshold(*threshold)
-    docs = df.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
+    carried = [c for c in docs.columns if c not in ("__key", "__text")]
     levels = spark.sparkContext.broadcast(sketch_levels(docs, size).tobytes())
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "__text"):
             sets = list(shingle_sets(block, size))
-            arrays = [block.column("__key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity_bits(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["__key", "n", "cls", "bits"])
+            arrays = [block.column("__key"), *map(block.column, carried), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity_bits(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["__key", *carried, "n", "cls", "bits"])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = np.frombuffer(levels.value, np.uint8), set()
@@ -375,7 +368,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["token", "cell", "cls", "n", "at"])
 
     entry = "token long, cell long, cls long, n long, at long"
-    described = stored(docs.mapInArrow(describe, "__key long, n long, cls long, bits binary"))
+    described = stored(docs.mapInArrow(describe, ", ".join(["__key long", *(f"{c} string" for c in carried), "n long, cls long, bits binary"])))
     classes = described.filter("cls is not null").groupBy("cls").agg(F.min("__key").alias("rep"), F.first("bits").alias("bits"))
     met = docs.mapInArrow(prefixes, entry).repartition("token", "cell").mapInArrow(meeting(t), entry)
     edges = met.join(classes.select("cls", "bits"), "cls").repartition("token", "cell").mapInArrow(candidate_edges(t), "a long, b long")
@@ -403,13 +396,50 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     # The group of a class: its root; the id of a group: its smallest key.
     grouped = classes.select("cls", "rep").join(linked.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_class = grouped.join(ids, "root").select("cls", "component_id")
-    return (
-        described.join(by_class, "cls", "left")
-        .select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("__key").isNotNull(), F.coalesce("component_id", "__key")).alias("component_id"))
+    by_class = grouped.join(ids, "root").select("cls", "root", "component_id")
+    return described.filter("cls is not null").join(by_class, "cls").select("__key", *carried, "n", "root", "component_id").unionByName(
+        described.filter("cls is null").select("__key", *carried, "n", F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("component_id"))
     )
 
 
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """Groups of documents whose sets of ``size``-word shingles reach the Jaccard ``threshold`` (a fraction), by links.
+
+    Returns one row per document: the key, ``n_shingles`` (long) and ``component_id``, the
+    smallest key that links reach, itself included.  All links count; a document without words has
+    an empty set and is linked with nothing; null texts are empty.  Rows with equal texts are linked, and
+    repeated rows give repeated rows.  A null key stays null and its document counts as a link but is never a
+    group's id.  Other columns are ignored.  An empty table gives no rows.
+    """
+    docs = df.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
+    found = grouped_rows(docs, size, threshold)
+    return found.select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("__key").isNotNull(), F.coalesce("component_id", "__key")).alias("component_id"))
+
+
+def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each group (see ``near_duplicates``) one row stays, as it is.
+
+    It is that of the smallest key (null keys last; of rows with one key, that of the smallest checksum of the text).
+    Rows are told apart by key and text, so another text under the key of one that goes stays; of rows equal in both
+    one stays.  Rows without words are linked with nothing: all of them stay, but of equal ones (key and text, a null
+    text being no empty one) one does.  Extra columns stay as they are; an empty table gives no rows.
+    """
+    name = F.concat(F.col(text).isNull().cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    own = [f"__n{i}" for i in range(len(df.columns))]  # names that clash with nothing
+    renamed = df.toDF(*own)
+    k, t = own[df.columns.index(key)], own[df.columns.index(text)]
+    docs = df.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"), name.alias("__name"))
+    grouped = stored(grouped_rows(docs, size, threshold))
+    # One row of each group, by key and text, has no other before it.
+    first = grouped.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("__key").isNull().alias("no_key"), "__key", "__name")).alias("f"))
+    kept = first.select("f.*").select("__key", "__name").unionByName(grouped.filter("root is null").select("__key", "__name").distinct())
+    kept = kept.select(F.coalesce("__key", F.lit(0).cast("long")).alias("__k"), F.col("__key").isNull().alias("__no_key"), "__name")
+    rows = renamed.withColumn("__k", F.coalesce(F.col(k).cast("long"), F.lit(0).cast("long"))).withColumn("__no_key", F.col(k).cast("long").isNull())
+    rows = rows.withColumn("__name", F.concat(F.col(t).isNull().cast("string"), F.md5(F.coalesce(F.col(t), F.lit("")).cast("binary"))))
+    by = ["__k", "__no_key", "__name"]
+    return rows.join(kept, by, "left_semi").dropDuplicates(by).select(*(F.col(n).alias(c) for n, c in zip(own, df.columns, strict=True)))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, size=4, threshold=(85, 100))
