@@ -5,17 +5,18 @@ it swallows what stands next to it, or forms that the base rules don't know.  Bo
 score each proposal; a threshold calibrated for precision selects.  The trees are fitted once on made-up examples
 (``examples``), so no label of any table is needed, and become one SQL expression.
 
-A text's pieces between matches give the matches' places.  Matches travel, texts don't: one exchange by row
-brings the matches of a text together.
+A text's pieces between matches give the matches' places, as running sums.  All of it is done within the row, by functions
+of arrays in time about proportional to the text and its matches: nothing is exchanged between tasks.
 """
 
 from __future__ import annotations
 
 import functools
 import random
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import boost, log_odds, log_odds_column
@@ -179,56 +180,84 @@ def trained(spark: SparkSession) -> tuple[list, float]:
     return trees, max(0.0, float(odds[order[good[-1]]]) if len(good) else 0.0)
 
 
-def _matches(text: Column, pattern: str, kind: str, source: int) -> Column:
-    """Matches in order: the pieces before them by length, ends and heads; the last entry is the piece after all."""
-    pieces = F.transform(F.split(text, pattern, -1), lambda p: F.struct(F.length(p).alias("n"), F.right(p, F.lit(BEFORE)).alias("tail"), F.left(p, F.lit(AFTER)).alias("head")))
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rows = F.zip_with(pieces, found, lambda p, m: F.struct(F.lit(kind).alias("kind"), F.lit(source).alias("source"), p["n"].alias("n"), p["tail"].alias("tail"), p["head"].alias("head"), m.alias("m")))
-    return F.when(text.rlike(pattern), F.transform(rows, lambda r, i: F.struct(r["kind"], r["source"], i.alias("i"), r["n"], r["tail"], r["head"], r["m"]))).otherwise(F.array().cast("array<struct<kind:string,source:int,i:int,n:int,tail:string,head:string,m:string>>"))
+_FOUND = "array<struct<code:int,source:int,whole:bigint,wide:int,tail:string,head:string,m:string>>"
+_SPANS = "array<struct<start:bigint,code:int,end:bigint>>"
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once, however often it is used."""
+    return F.transform(F.array(value), lambda v: then(v))[0]
+
+
+def running(values: Column, start: int, step: Callable[[Column, Column], Column]) -> Column:
+    """The running ``step`` of an array of longs (an associative one, of which ``start`` is neutral), by blocks of BLOCK values."""
+
+    zero = F.lit(start).cast("long")
+    along = lambda some, of: F.slice(F.aggregate(some, F.array(zero), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), of(x))))), F.lit(2), F.lit(BLOCK))
+    cuts = lambda v: F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+    within = lambda v: F.transform(cuts(v), lambda c: along(F.slice(v, c * BLOCK + 1, F.lit(BLOCK)), lambda x: x))
+    before = lambda w: F.aggregate(w, F.array(zero), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), F.element_at(x, -1)))))
+    whole = lambda w: let(before(w), lambda b: F.flatten(F.transform(w, lambda some, i: let(b[i], lambda carried: F.transform(some, lambda x: step(carried, x))))))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(within(v), whole)).otherwise(F.array().cast("array<bigint>")))
+
+
+def _sets(text: Column, pattern: str, code: int, source: int) -> Column:
+    """Matches in order, each with the lengths of what stands before it and of itself; the last entry is the piece after all."""
+    one = lambda p, m: F.struct(
+        F.lit(code).alias("code"), F.lit(source).alias("source"), (F.length(p) + F.coalesce(F.length(m), F.lit(0))).cast("long").alias("whole"),
+        F.length(m).alias("wide"), F.right(p, F.lit(BEFORE)).alias("tail"), F.left(p, F.lit(AFTER)).alias("head"), m.alias("m"),
+    )
+    return F.when(text.rlike(pattern), F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), one)).otherwise(F.array().cast(_FOUND))
 
 
 #: A cheap sign that a text can hold a span at all.
 _ANY = r"[0-9@]|\(at\)|\[at\]"
+#: Values of an array that are summed up at once, characters of a text that are cut at once.
+BLOCK, CUT = 128, 1024
+#: Places of one kind come before those of the next (a text has fewer characters).
+_LINE = 1 << 40
+
+
+def _with_spans(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``__base`` and ``__spans``."""
+    trees, threshold = trained(df.sparkSession)
+    rows = df.withColumn("__some", F.when(F.col(text).rlike(_ANY), F.col(text)).otherwise(F.lit("")))
+    sets = [_sets(F.col("__some"), pattern, KINDS.index(kind), source) for source, patterns in enumerate((BASE, PROPOSED)) for kind, pattern in patterns.items()]
+    rows = rows.withColumn("__sets", F.array(*sets))
+
+    def placed(found: Column) -> Column:
+        def at(ends: Column) -> Column:
+            return F.transform(found, lambda r, i: F.struct(r["code"].alias("code"), r["source"].alias("source"), (ends[i] - r["wide"]).alias("start"), ends[i].alias("end"), r["m"].alias("m"), r["tail"].alias("tail"), F.coalesce(F.try_element_at(found, i + 2)["head"], F.lit("")).alias("after")))
+
+        return F.filter(let(running(F.transform(found, lambda r: r["whole"]), 0, lambda x, y: x + y), at), lambda r: r["m"].isNotNull())
+
+    kind = lambda r: F.element_at(F.array(*map(F.lit, KINDS)), r["code"] + 1)
+    span = lambda r: F.struct(r["start"], r["code"], r["end"])
+    rows = rows.withColumn("__all", F.flatten(F.transform("__sets", placed)))
+    rows = rows.withColumn("__base", F.array_sort(F.transform(F.filter("__all", lambda r: (r["source"] == 0) & valid(kind(r), r["m"])), span)))
+    # Features in an array of their own: written out in each node of the trees, they would be made for each.
+    scored = F.transform(F.filter("__all", lambda r: r["source"] == 1), lambda r: F.struct(r["start"].alias("start"), r["code"].alias("code"), r["end"].alias("end"), F.array(*features(kind(r), r["m"], r["tail"], r["after"])).alias("x")))
+    rows = rows.withColumn("__more", F.transform(F.filter(scored, lambda r: log_odds_column(trees, [r["x"][j] for j in range(FEATURES)]) >= threshold), span))
+    # A proposal that overlaps a base span of its kind goes.  In one line of all spans by kind and place, that is one
+    # where the furthest end of base spans before, or the nearest start of those after, is inside.
+    flat = lambda spans, base: F.transform(spans, lambda r: F.struct((r["code"] * F.lit(_LINE) + r["start"]).alias("start"), (r["code"] * F.lit(_LINE) + r["end"]).alias("end"), F.lit(base).alias("base"), span(r).alias("span")))
+    rows = rows.withColumn("__line", F.array_sort(F.concat(flat(F.col("__base"), True), flat(F.col("__more"), False))))
+    far = running(F.transform("__line", lambda r: F.when(r["base"], r["end"]).otherwise(F.lit(-1).cast("long"))), -1, lambda x, y: F.greatest(x, y))
+    near = F.reverse(running(F.reverse(F.transform("__line", lambda r: F.when(r["base"], r["start"]).otherwise(F.lit(1 << 60)))), 1 << 60, lambda x, y: F.least(x, y)))
+    # What a function of elements looks up is bound by ``let``: a column would be made again for each element.
+    kept = let(far, lambda f: let(near, lambda n: F.filter("__line", lambda r, i: r["base"] | ((f[i] <= r["start"]) & (n[i] >= r["end"])))))
+    spans = F.array_sort(F.transform(kept, lambda r: r["span"]))
+    return rows.withColumn("__spans", F.when(F.size("__more") > 0, spans).otherwise(F.col("__base")))
 
 
 def find_spans(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per row of ``df``: the ``carry`` columns, ``base`` and ``spans``, ordered arrays of (start, kind, end).
+    """One row per row of ``df``: the ``carry`` columns, ``base`` and ``spans``, ordered arrays of (start, code, end).
 
-    ``kind`` is a place in KINDS; places are code points, ends exclusive.  Base spans are always among ``spans``.
-    A null or empty text has no spans.  Repeated rows and null keys are kept.
+    ``code`` is a place in KINDS; places are code points, ends exclusive.  Base spans are always among ``spans``.
+    A null or empty text has no spans.  Repeated rows and null keys are kept; an empty table gives no rows.
     """
-    trees, threshold = trained(df.sparkSession)
-    body = F.coalesce(F.col(text), F.lit(""))
-    numbered = df.select(*(F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)), body.alias("__text"), F.monotonically_increasing_id().alias("__row"))
-    found = F.flatten(F.array(*(_matches(F.col("__text"), pattern, kind, source) for source, patterns in enumerate((BASE, PROPOSED)) for kind, pattern in patterns.items())))
-    kept = [f"__c{i}" for i in range(len(carry))]
-    found = F.when(F.col("__text").rlike(_ANY), found).otherwise(F.array().cast("array<struct<kind:string,source:int,i:int,n:int,tail:string,head:string,m:string>>"))
-    rows = numbered.select("__row", *kept, F.explode_outer(found).alias("f")).select("__row", *kept, "f.*")
-    # What a row carries goes with its first entry only.
-    first = F.row_number().over(Window.partitionBy("__row").orderBy("source", "kind", "i")) == 1
-    order = Window.partitionBy("__row", "source", "kind").orderBy("i")
-    placed = (
-        rows.repartition("__row")
-        .withColumn("first", first)
-        .withColumn("start", F.sum(F.col("n").cast("long") + F.coalesce(F.length("m"), F.lit(0))).over(order) - F.coalesce(F.length("m"), F.lit(0)))
-        .withColumn("after", F.lead("head").over(order))
-        .withColumn("end", F.col("start") + F.length("m"))
-    )
-    spans = placed.withColumn("code", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1)
-    # One array, used by all trees: written out in each of their nodes, the features would swell the plan.
-    spans = spans.withColumn("x", F.when(F.col("m").isNotNull() & (F.col("source") == 1), F.array(*features(F.col("kind"), F.col("m"), F.col("tail"), F.coalesce("after", F.lit(""))))))
-    odds = log_odds_column(trees, [F.col("x")[j] for j in range(FEATURES)])
-    base_ok = F.col("m").isNotNull() & (F.col("source") == 0) & valid(F.col("kind"), F.col("m"))
-    more_ok = F.when(F.col("m").isNotNull() & (F.col("source") == 1), odds >= threshold)
-    one = F.struct("start", "code", "end")
-    grouped = spans.groupBy("__row").agg(
-        *(F.first(F.when(F.col("first"), F.col(c)), ignorenulls=True).alias(c) for c in kept),
-        F.array_sort(F.collect_list(F.when(base_ok, one))).alias("base"),
-        F.array_sort(F.collect_list(F.when(F.coalesce(more_ok, F.lit(False)), one))).alias("more"),
-    )
-    clash = lambda s: F.exists("base", lambda b: (b["code"] == s["code"]) & (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.filter("more", lambda s: ~clash(s))
-    return grouped.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)), "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    named = df.select(*(F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    return _with_spans(named, "__text").select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)), F.col("__base").alias("base"), F.col("__spans").alias("spans"))
 
 
 def joined(spans: str) -> Column:
@@ -246,26 +275,39 @@ def personal_data(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with every span in ``text`` replaced by its kind in angle brackets; overlapping spans are one, named by the first.
 
-    A null text stays null.
+    A null text stays null, an empty one empty; repeated rows, null keys and extra columns, whatever their names, stay as
+    they are; an empty table gives no rows.
     """
     columns = df.columns
     own = [f"__k{i}" for i in range(len(columns))]  # names that clash with nothing
-    found = find_spans(df.toDF(*own), own[columns.index(text)], tuple(own))
-    whole = F.array_sort("spans")
-    # Merge overlapping spans, then put the text together from what stands between them.
-    empty = F.array().cast("array<struct<start:bigint,code:int,end:bigint>>")
-    last = lambda acc: F.element_at(acc, -1)
-    merged = F.aggregate(
-        whole,
-        empty,
-        lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] < F.try_element_at(acc, F.lit(-1))["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["start"].alias("start"), last(acc)["code"].alias("code"), F.greatest(last(acc)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
-    )
-    names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
     body = F.col(own[columns.index(text)])
-    piece = lambda s, i: F.concat(F.substring(body, F.when(i == 0, F.lit(1)).otherwise(F.element_at(F.col("__m"), F.greatest(i, F.lit(1)))["end"] + 1).cast("int"), (s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.element_at(F.col("__m"), F.greatest(i, F.lit(1)))["end"])).cast("int")), F.element_at(names, s["code"] + 1))
-    rest = F.substring(body, (F.element_at("__m", -1)["end"] + 1).cast("int"), F.lit(2**31 - 1))
-    new = F.when(F.size("__m") == 0, body).otherwise(F.concat(F.array_join(F.transform("__m", piece), ""), rest))
-    return found.withColumn("__m", merged).select(*(new.alias(c) if c == text else F.col(k).alias(c) for k, c in zip(own, columns, strict=True)))
+    rows = _with_spans(df.toDF(*own).withColumn("__text", F.coalesce(body, F.lit(""))), "__text")
+    # Where a span starts beyond all ends before it, a replaced stretch starts; before that, one ends.
+    ends = running(F.transform("__spans", lambda r: r["end"]), -1, lambda x, y: F.greatest(x, y))
+
+    def stretches(ends: Column, spans: Column) -> Column:
+        last = F.size(ends) - 1
+        head = lambda i: (i == 0) | (spans[i]["start"] >= ends[F.greatest(i - 1, F.lit(0))])
+        heads = F.filter(spans, lambda r, i: head(i))
+        stops = F.filter(ends, lambda e, i: (i == last) | head(F.least(i + 1, last)))
+        return F.zip_with(heads, stops, lambda r, e: F.struct(r["start"].alias("start"), r["code"].alias("code"), e.alias("end")))
+
+    rows = rows.withColumn("__stretches", let(ends, lambda e: let(F.col("__spans"), lambda spans: stretches(e, spans))))
+
+    def between(blocks: Column, a: Column, b: Column) -> Column:
+        part = lambda k: F.substring(blocks[k.cast("int")], (F.greatest(a - k * CUT, F.lit(0)) + 1).cast("int"), (F.least(b, (k + 1) * CUT) - F.greatest(a, k * CUT)).cast("int"))
+        return F.when(a < b, F.array_join(F.transform(F.sequence(F.floor(a / CUT), F.floor((b - 1) / CUT)), part), "")).otherwise(F.lit(""))
+
+    names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
+
+    def filled(blocks: Column, some: Column, wide: Column) -> Column:
+        before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(some[F.greatest(i - 1, F.lit(0))]["end"])
+        pieces = F.transform(some, lambda r, i: F.concat(between(blocks, before(i), r["start"]), F.element_at(names, r["code"] + 1)))
+        return F.concat(F.array_join(pieces, ""), between(blocks, F.element_at(some, -1)["end"], wide))
+
+    cut = F.regexp_extract_all("__text", F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    new = F.when(F.size("__spans") == 0, body).otherwise(let(cut, lambda blocks: let(F.col("__stretches"), lambda some: let(F.length("__text").cast("long"), lambda wide: filled(blocks, some, wide)))))
+    return rows.select(*(new.alias(c) if c == text else F.col(k).alias(c) for k, c in zip(own, columns, strict=True)))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
