@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import shingle_sets
-from .store import stored
+from .store import dealt, stored
 from .textblocks import blocks, mix, ragged
 
 #: Counters of the sketch (a power of 2), counters in a row of it, and entries of a token's group before it is cut.
@@ -370,8 +370,8 @@ def grouped_rows(docs: DataFrame, size: int, threshold: tuple[int, int]) -> Data
     entry = "token long, cell long, cls long, n long, at long"
     described = stored(docs.mapInArrow(describe, ", ".join(["__key long", *(f"{c} string" for c in carried), "n long, cls long, bits binary"])))
     classes = described.filter("cls is not null").groupBy("cls").agg(F.min("__key").alias("rep"), F.first("bits").alias("bits"))
-    met = docs.mapInArrow(prefixes, entry).repartition("token", "cell").mapInArrow(meeting(t), entry)
-    edges = met.join(classes.select("cls", "bits"), "cls").repartition("token", "cell").mapInArrow(candidate_edges(t), "a long, b long")
+    met = dealt(docs.mapInArrow(prefixes, entry), "token", "cell", source=docs, times=2.0).mapInArrow(meeting(t), entry)
+    edges = dealt(met.join(classes.select("cls", "bits"), "cls"), "token", "cell", source=docs).mapInArrow(candidate_edges(t), "a long, b long")
     clusters = components(edges)
     roots = clusters.groupBy("root").agg((F.count("*") + 1).alias("size"))
     members = clusters.unionByName(roots.select(F.col("root").alias("node"), "root")).join(roots, "root").select(F.col("node").alias("cls"), F.col("root").alias("cluster"), "size")
@@ -391,7 +391,7 @@ def grouped_rows(docs: DataFrame, size: int, threshold: tuple[int, int]) -> Data
     cells = cells.select("cls", "rep", "cluster", "side", (F.least("side", "other") * F.col("sides") + F.greatest("side", "other")).alias("cell"))
     texts = docs.join(cells, docs["__key"].eqNullSafe(cells["rep"])).select("__text", "cls", "cluster", "cell", "side")
     whole = texts.mapInArrow(sets_of, "cls long, cluster long, cell long, side long, tokens binary")
-    links = whole.repartition("cluster", "cell").mapInArrow(verified_links(t, levels), "a long, b long")
+    links = dealt(whole, "cluster", "cell", source=docs).mapInArrow(verified_links(t, levels), "a long, b long")
     linked = components(links)
     # The group of a class: its root; the id of a group: its smallest key.
     grouped = classes.select("cls", "rep").join(linked.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that a task of a shuffle should take at most, and bytes of text that a byte of a compressed column is about.
+TASK_BYTES, UNPACKED = 128 << 20, 4
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; where it is unset (tests), a folder of our own."""
@@ -14,6 +17,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="docfathom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -29,6 +34,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *columns: str, source: DataFrame, times: float = 1.0) -> DataFrame:
+    """``df`` dealt by ``columns``, to as many tasks as the session says, or more where ``source`` is large.
+
+    ``times``: bytes of ``df`` for each byte of text in ``source``, whose size the plan knows from its files.  Only the
+    number of tasks depends on it.
+    """
+    spark = df.sparkSession
+    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    tasks = int(size * UNPACKED * times // TASK_BYTES)
+    few = tasks <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(*columns) if few or size >= 1 << 60 else df.repartition(tasks, *columns)  # tables without files have no known size
+
+
 def drop_stored(df: DataFrame) -> None:
     """Remove a table of ``stored`` that nothing reads any more."""
     spark = df.sparkSession

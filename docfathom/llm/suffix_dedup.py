@@ -4,13 +4,15 @@ Only what can repeat is sorted.  Of each window the leftmost smallest hash of it
 ``GRAM``-byte strings is its anchor, so equal windows have equal anchors at equal places:
 
 1. The windows of each text fall into runs with one anchor.  A run travels as two hashes (of the anchor's
-   bytes and of all bytes of the run's windows) and its place; runs that are equal within a task go as one.
-2. The first radix pass deals the runs by their anchor.  Of equal runs all but the earliest are repeats; runs
-   that share an anchor and differ are asked for in full.
-3. The texts answer with the bytes of those runs.  Their suffixes are sorted by most significant digits, eight
-   bytes a pass and no deeper than the window, and suffixes alone in their group leave at each pass.
-   The groups that remain are the repeated windows; all but the earliest of each are repeats.
-   An anchor with very many different runs has its windows dealt one by one, equal ones of a task going as one.
+   bytes and of all bytes of the run's windows) and its place; of runs with equal hashes within a task the two
+   earliest go on, the others follow the first.
+2. The runs are dealt by their anchor.  Where several have one, all are asked for in full; an anchor that one run has
+   can't repeat and is done.
+3. The texts answer with the bytes of those runs.  They are sorted by most significant digits, eight bytes a
+   pass: first whole runs, of which equal ones leave but for the earliest, then the suffixes in them, no deeper than
+   the window; what is alone in its group leaves at each pass.  The groups that remain are the repeated windows, and
+   all but the earliest of each are repeats.  Hashes only say what meets; bytes say what is equal.
+   An anchor with very many different runs has its windows dealt one by one, each with its bytes.
 4. The repeats of each text are merged and its other bytes kept.
 """
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import dealt, stored
 from .textblocks import blocks, mix, prefix_hash, ragged, range_hash
 
 #: Bytes of a window and of an anchor.
@@ -35,7 +37,7 @@ SEGMENT, HELD = 1 << 20, 1_000_000
 HOT_HERE, HOT = 64, 4096
 _PLACE = np.uint64((1 << 21) - 1)
 _NO_KEY = -(1 << 63)
-#: A place is one long: start of the anchor or span << 32 | text's mark << 14 | first window's start before it << 7 | last one's.
+#: A place is one long: start of the anchor or span << 14 | first window's start before it << 7 | last one's.
 _SPAN, _HOT = (127 << 7) | 127, (127 << 7) | 126
 
 
@@ -73,11 +75,6 @@ def segments(data: np.ndarray, off: np.ndarray, window: int) -> Iterator[tuple[i
         yield a, part, np.array([0, len(part)])
 
 
-def text_mark(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """18 bits that tell apart different texts under one key."""
-    return (range_hash(prefix_hash(data), off[:-1], off[1:]) >> np.uint64(46)).astype(np.int64)
-
-
 def merged(key: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     """Spans of each text, overlapping and touching ones made one."""
     if not len(key):
@@ -92,7 +89,7 @@ def merged(key: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray
     return key[first], mark[first], start[first], reach[np.append(first[1:], len(key)) - 1]
 
 
-_RUN = "h long, ctx long, key long, place long"
+_RUN = "h long, ctx long, key long, mark long, place long"
 _FOUND = "kind int, h long, key long, mark long, start long, end long, anchor long"
 
 
@@ -104,7 +101,7 @@ def _batch(names: str, arrays: list) -> pa.RecordBatch:
 
 def _spans(key, mark, start, end) -> list:
     """Spans as runs that pass by: dealt by their text, with the end in place of the second hash."""
-    return [mix(key.astype(np.uint64)).view(np.int64), end, key, start << 32 | mark << 14 | _SPAN]
+    return [mix(key.astype(np.uint64) ^ mix(mark.astype(np.uint64))).view(np.int64), end, key, mark, start << 14 | _SPAN]
 
 
 def first_of(*keys: np.ndarray) -> np.ndarray:
@@ -112,29 +109,35 @@ def first_of(*keys: np.ndarray) -> np.ndarray:
     return np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))) if len(keys[0]) else np.zeros(0, bool)
 
 
+def ranked(*keys: np.ndarray) -> np.ndarray:
+    """The place of each row of sorted columns among those equal to it."""
+    new = np.flatnonzero(first_of(*keys))
+    return np.arange(len(keys[0])) - np.repeat(new, np.diff(np.append(new, len(keys[0]))))
+
+
 def _runs(window: int, gram: int):
     def send(held: list[np.ndarray]) -> pa.RecordBatch:
-        h, ctx, key, place = held
-        order = np.lexsort((place, key, ctx, h))
-        h, ctx, key, place = (x[order] for x in held)
-        new = first_of(h, ctx)
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        again = ~new & ((key != key[lead]) | (place != place[lead]))
-        p, far, near = place[again] >> 32, place[again] >> 7 & 127, place[again] & 127
-        spans = merged(key[again], place[again] >> 14 & 0x3FFFF, p - far, p - near + window)
-        h, ctx, key, place = h[new], ctx[new], key[new], place[new]
+        h, ctx, key, mark, place = held
+        order = np.lexsort((mark, place, key, ctx, h))
+        order = order[first_of(*(x[order] for x in (h, ctx, key, mark, place)))]  # repeated rows are one
+        h, ctx, key, mark, place = (x[order] for x in held)
+        rank = ranked(h, ctx)
+        again = rank > 1
+        p, far, near = place[again] >> 14, place[again] >> 7 & 127, place[again] & 127
+        spans = merged(key[again], mark[again], p - far, p - near + window)
+        h, ctx, key, mark, place = (x[~again] for x in (h, ctx, key, mark, place))
         # An anchor with many runs here sends them as they are, but says so.
         group = np.cumsum(first_of(h)) - 1
-        hot = np.bincount(group, minlength=1)[group] > HOT_HERE if len(h) else np.zeros(0, bool)
+        hot = np.bincount(group, weights=rank[~again] == 0, minlength=1)[group] > HOT_HERE if len(h) else np.zeros(0, bool)
         first_hot = hot & first_of(h)
-        asked = [h[first_hot], np.zeros(first_hot.sum(), np.int64), key[first_hot], place[first_hot] & ~np.int64(0x3FFF) | _HOT]
-        return _batch(_RUN, [np.concatenate(x) for x in zip([h, ctx, key, place], asked, _spans(*spans), strict=True)])
+        asked = [h[first_hot], np.zeros(first_hot.sum(), np.int64), key[first_hot], mark[first_hot], place[first_hot] & ~np.int64(0x3FFF) | _HOT]
+        return _batch(_RUN, [np.concatenate(x) for x in zip([h, ctx, key, mark, place], asked, _spans(*spans), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], [], [], []]
+        held: list[list[np.ndarray]] = [[], [], [], [], []]
         size = 0
         for block in blocks(batches, "__text", SEGMENT):
-            keys, marks = block.ints("__key"), text_mark(block.data, block.off)
+            keys, marks = block.ints("__key"), block.ints("__mark")
             for base, data, off in segments(block.data, block.off, window):
                 a, b, p = anchor_runs(data, off, window, gram)
                 prefix = prefix_hash(data)
@@ -142,13 +145,13 @@ def _runs(window: int, gram: int):
                 far, near = p - a, p - b
                 h = range_hash(prefix, p, p + gram)
                 ctx = mix(range_hash(prefix, a, b + window) + (far * 1009 + near).astype(np.uint64))
-                place = (p - off[row] + base) << 32 | marks[row] << 14 | far << 7 | near
-                for x, y in zip(held, (h.view(np.int64), ctx.view(np.int64), keys[row], place), strict=True):
+                place = (p - off[row] + base) << 14 | far << 7 | near
+                for x, y in zip(held, (h.view(np.int64), ctx.view(np.int64), keys[row], marks[row], place), strict=True):
                     x.append(y)
                 size += len(a)
             if size > HELD:
                 yield send([np.concatenate(x) for x in held])
-                held, size = [[], [], [], []], 0
+                held, size = [[], [], [], [], []], 0
         if size:
             yield send([np.concatenate(x) for x in held])
 
@@ -160,34 +163,30 @@ def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(got).combine_chunks() if got else None
 
 
-def _repeats(window: int):
-    """Runs dealt by their anchor: spans of equal runs that aren't the first (kind 0), runs asked for in full (1; 2: window by window)."""
+def _meeting(window: int):
+    """Runs dealt by their anchor: spans that pass by (kind 0), runs of anchors that several have, asked for in full (1; 2: window by window)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(batches)
         if table is None:
             return
-        h, ctx, key, place = (table.column(c).to_numpy() for c in ("h", "ctx", "key", "place"))
+        h, ctx, key, mark, place = (table.column(c).to_numpy() for c in ("h", "ctx", "key", "mark", "place"))
         span = (place & 0x3FFF) == _SPAN
-        passing = (key[span], place[span] >> 14 & 0x3FFFF, place[span] >> 32, ctx[span])
-        hot = np.unique(h[~span & ((place & 0x3FFF) == _HOT)])
-        own = ~span & ((place & 0x3FFF) != _HOT)
-        h, ctx, key, place = h[own], ctx[own], key[own], place[own]
-        order = np.lexsort((place, key, ctx, h))
-        h, ctx, key, place = h[order], ctx[order], key[order], place[order]
-        new = first_of(h, ctx)
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, int)
-        again = ~new & ((key != key[lead]) | (place != place[lead])) if len(h) else np.zeros(0, bool)
-        p = place >> 32
-        start, end, mark = p - (place >> 7 & 127), p - (place & 127) + window, place >> 14 & 0x3FFFF
-        spans = merged(*(np.concatenate(x) for x in zip(passing, (key[again], mark[again], start[again], end[again]), strict=True)))
+        spans = merged(key[span], mark[span], place[span] >> 14, ctx[span])
         zero = np.zeros(len(spans[0]), np.int64)
         yield _batch(_FOUND, [zero, zero, *spans, zero])
-        h, key, mark, start, end, p = (x[new] for x in (h, key, mark, start, end, p))
+        hot = np.unique(h[~span & ((place & 0x3FFF) == _HOT)])
+        own = ~span & ((place & 0x3FFF) != _HOT)
+        h, ctx, key, mark, place = (x[own] for x in (h, ctx, key, mark, place))
+        order = np.lexsort((mark, place, key, ctx, h))
+        order = order[first_of(*(x[order] for x in (h, ctx, key, mark, place)))]
+        h, ctx, key, mark, place = (x[order] for x in (h, ctx, key, mark, place))
+        p = place >> 14
+        start, end = p - (place >> 7 & 127), p - (place & 127) + window
         group = np.cumsum(first_of(h)) - 1
-        count = np.bincount(group, minlength=1)[group] if len(h) else np.zeros(0, int)
+        count, classes = (np.bincount(group, weights=w, minlength=1)[group] if len(h) else np.zeros(0, int) for w in (None, first_of(h, ctx)))
         many = count > 1
-        kind = np.where((count > HOT) | np.isin(h, hot), 2, 1)
+        kind = np.where((classes > HOT) | np.isin(h, hot), 2, 1)
         yield _batch(_FOUND, [x[many] for x in (kind, h, key, mark, start, end, p)])
 
     return run
@@ -197,38 +196,34 @@ _ANSWER = "kind int, h long, key long, mark long, start long, anchor long, bytes
 
 
 def _answers(window: int):
-    """Texts with the runs asked of them: the runs' bytes (kind 1), or each window by its hash (2), equal ones of a task as one (others: spans, 0)."""
+    """Texts with the runs asked of them: the runs' bytes, or each window's as a run of its own (equal ones of a task: the two earliest; others are spans, kind 0)."""
 
-    def windows(held: list[np.ndarray]) -> pa.RecordBatch:
-        h, key, mark, start = held
+    def windows(held: list[np.ndarray], raw: bytes) -> pa.RecordBatch:
+        h, key, mark, start, at = held
         order = np.lexsort((mark, start, key, h))
-        h, key, mark, start = (x[order] for x in held)
-        new = first_of(h)
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        again = ~new & ((key != key[lead]) | (start != start[lead]) | (mark != mark[lead]))
+        order = order[first_of(*(x[order] for x in (h, key, mark, start)))]
+        h, key, mark, start, at = (x[order] for x in held)
+        again = ranked(h) > 1
         spans = merged(key[again], mark[again], start[again], start[again] + window)
-        rows = [np.concatenate(x) for x in zip((h[new], key[new], mark[new], start[new]), (mix(spans[0].astype(np.uint64)).view(np.int64), *spans[:3]), strict=True)]
-        kind = np.repeat([2, 0], [new.sum(), len(spans[0])])
-        anchor = np.concatenate([np.zeros(new.sum(), np.int64), spans[3]])
-        return _batch(_ANSWER, [kind, *rows, anchor, [None] * len(kind)])
+        once = ~again
+        rows = [np.concatenate(x) for x in zip((h[once], key[once], mark[once], start[once]), (mix(spans[0].astype(np.uint64)).view(np.int64), *spans[:3]), strict=True)]
+        kind = np.repeat([1, 0], [once.sum(), len(spans[0])])
+        pieces = [raw[a : a + window] for a in at[once].tolist()]
+        return _batch(_ANSWER, [kind, *rows, np.concatenate([start[once], spans[3]]), pieces + [None] * len(spans[0])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], [], [], []]
-        size = 0
         for block in blocks(batches, "__text", SEGMENT):
-            keys, marks = block.ints("__key"), text_mark(block.data, block.off)
+            keys, marks = block.ints("__key"), block.ints("__mark")
             asked = block.column("asked")
             row = np.repeat(np.arange(len(block)), np.diff(asked.offsets.to_numpy()))
             items = asked.flatten()
-            kind, h, mark, start, end, anchor = (items.field(i).to_numpy(zero_copy_only=False) for i in range(6))
-            own = mark == marks[row]
-            row, kind, h, mark, start, end, anchor = (x[own] for x in (row, kind, h, mark, start, end, anchor))
+            kind, h, start, end, anchor = (items.field(i).to_numpy(zero_copy_only=False) for i in range(5))
             raw = block.data.tobytes()
             at = block.off[row]
             one = kind == 1
             if one.any():
                 pieces = [raw[a:b] for a, b in zip((at + start)[one].tolist(), (at + end)[one].tolist(), strict=True)]
-                yield _batch(_ANSWER, [kind[one], h[one], keys[row][one], mark[one], start[one], anchor[one], pieces])
+                yield _batch(_ANSWER, [kind[one], h[one], keys[row][one], marks[row][one], start[one], anchor[one], pieces])
             if not one.all():
                 two = ~one
                 count = (end - start - window + 1)[two]
@@ -236,14 +231,7 @@ def _answers(window: int):
                 there = np.repeat(at[two], count) + begin
                 prefix = prefix_hash(block.data)
                 name = mix(range_hash(prefix, there, there + window) ^ np.repeat(h[two], count).view(np.uint64))
-                for x, y in zip(held, (name.view(np.int64), np.repeat(keys[row][two], count), np.repeat(mark[two], count), begin), strict=True):
-                    x.append(y)
-                size += len(begin)
-                if size > HELD:
-                    yield windows([np.concatenate(x) for x in held])
-                    held, size = [[], [], [], []], 0
-        if size:
-            yield windows([np.concatenate(x) for x in held])
+                yield windows([name.view(np.int64), np.repeat(keys[row][two], count), np.repeat(marks[row][two], count), begin, there], raw)
 
     return run
 
@@ -271,8 +259,28 @@ def radix_groups(data: np.ndarray, start: np.ndarray, group: np.ndarray, depth:
     return left, group
 
 
+def equal_runs(data: np.ndarray, begin: np.ndarray, length: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sort whole runs of bytes within their groups: which are equal to another of their length, and the group of each of those."""
+    which, groups, used = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for n in np.unique(length).tolist():
+        rows = np.flatnonzero(length == n)
+        left, own = radix_groups(data, begin[rows], group[rows], n)
+        which.append(rows[left])
+        groups.append(own + used)
+        used += len(rows) + 1
+    return np.concatenate(which), np.concatenate(groups)
+
+
+def _later(group: np.ndarray, key: np.ndarray, mark: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which rows of a group aren't its earliest."""
+    order = np.lexsort((mark, start, key, group))
+    later = np.zeros(len(group), bool)
+    later[order] = ~first_of(group[order])
+    return later
+
+
 def _sorted_runs(window: int):
-    """The later radix passes: spans of windows that aren't the first of their group."""
+    """The radix passes: spans of runs, and of windows, that aren't the first of their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(batches)
@@ -280,13 +288,6 @@ def _sorted_runs(window: int):
             return
         kind, h, key, mark, start, anchor = (table.column(c).to_numpy() for c in ("kind", "h", "key", "mark", "start", "anchor"))
         found = [(key[kind == 0], mark[kind == 0], start[kind == 0], anchor[kind == 0])]
-        two = np.flatnonzero(kind == 2)
-        two = two[np.lexsort((mark[two], start[two], key[two], h[two]))]
-        if len(two):
-            new = first_of(h[two])
-            lead = two[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            later = two[~new & ((key[two] != key[lead]) | (start[two] != start[lead]) | (mark[two] != mark[lead]))]
-            found.append((key[later], mark[later], start[later], start[later] + window))
         one = np.flatnonzero(kind == 1)
         one = one[np.argsort(h[one], kind="stable")]
         column = table.column("bytes").combine_chunks() if table.num_rows else None
@@ -296,27 +297,32 @@ def _sorted_runs(window: int):
             while hi < len(one) and h[one[hi]] == h[one[hi - 1]]:
                 hi += 1
             rows = one[lo:hi]
+            lo = hi
             pieces = column.take(pa.array(rows))
             pieces = pieces.combine_chunks() if isinstance(pieces, pa.ChunkedArray) else pieces
             raw = pieces.to_pylist()
             length = np.array([len(x) for x in raw])
-            data = np.frombuffer(b"".join(raw), np.uint8)
+            data, begin = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(length) - length
+            shape = np.unique(mix(h[rows].view(np.uint64)) + (anchor[rows] - start[rows]).astype(np.uint64), return_inverse=True)[1]
+            same, group = equal_runs(data, begin, length, shape)
+            own = rows[same]
+            later = _later(group, key[own], mark[own], start[own])
+            found.append(merged(key[own][later], mark[own][later], start[own][later], start[own][later] + length[same][later]))
+            left = np.ones(len(rows), bool)
+            left[same[later]] = False
+            # Of the runs left, those that share their anchor with another.
+            _, inverse, count = np.unique(h[rows[left]], return_inverse=True, return_counts=True)
+            left[np.flatnonzero(left)[count[inverse] < 2]] = False
+            rows, length, begin = rows[left], length[left], begin[left]
             count = length - window + 1
             nth = ragged(count)
             row = np.repeat(rows, count)
-            first = np.repeat(np.cumsum(length) - length, count) + nth
             place = start[row] + nth
             group = np.unique(mix(h[row].view(np.uint64)) + (anchor[row] - place).astype(np.uint64), return_inverse=True)[1]
-            left, group = radix_groups(data, first, group, window)
-            k, m, s = key[row[left]], mark[row[left]], place[left]
-            order = np.lexsort((m, s, k, group))
-            k, m, s, group = k[order], m[order], s[order], group[order]
-            new = first_of(group)
-            if len(group):
-                lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-                later = ~new & ((k != k[lead]) | (s != s[lead]) | (m != m[lead]))
-                found.append(merged(k[later], m[later], s[later], s[later] + window))
-            lo = hi
+            kept, group = radix_groups(data, np.repeat(begin, count) + nth, group, window)
+            k, m, s = key[row[kept]], mark[row[kept]], place[kept]
+            later = _later(group, k, m, s)
+            found.append(merged(k[later], m[later], s[later], s[later] + window))
         spans = merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
         zero = np.zeros(len(spans[0]), np.int64)
         yield _batch(_FOUND, [zero, zero, *spans, zero])
@@ -331,29 +337,31 @@ def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", win
     Strings are judged on the input.  Returns one row per row of ``df``: the key, ``n_bytes``, ``n_removed``,
     ``n_spans`` (maximal removed runs), ``kept_sha256`` (of the remaining bytes) and, if ``with_text``, ``kept``
     (the remaining text; characters cut in two are dropped), and the columns in ``carry`` as they are.  A null or empty text has no bytes.  Repeated rows count
-    as one document; different texts under one key are one document whose texts start together.
+    as one document; different texts under one key are told apart, the one of the smaller hash coming first where both start alike.
     Other columns are ignored; an empty table gives no rows.
     """
     if window < GRAM + 1 or window > GRAM + 95:
         raise ValueError(f"window must be {GRAM + 1} to {GRAM + 95} bytes")
     carried = [f"__c{i}" for i in range(len(carry))]
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY)).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"), *(F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)))
-    runs = docs.select("__key", "__text").mapInArrow(_runs(window, GRAM), _RUN).repartition("h")
-    found = stored(runs.mapInArrow(_repeats(window), _FOUND))
-    asked = found.filter("kind > 0").groupBy("key").agg(F.collect_list(F.struct("kind", "h", "mark", "start", "end", "anchor")).alias("asked"))
-    dealt = docs.repartition("__key")
-    answers = dealt.join(asked, dealt["__key"] == asked["key"]).select("__key", "__text", "asked", *carried).mapInArrow(_answers(window), _ANSWER)
-    more = answers.repartition("h").mapInArrow(_sorted_runs(window), _FOUND)
-    spans = found.filter("kind = 0").unionByName(more).groupBy(F.col("key").alias("__of")).agg(F.collect_list(F.struct("mark", "start", "end")).alias("spans"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    # Texts under one key are told apart by a 64-bit hash; rows without a key are dealt by it.
+    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY)).alias("__key"), F.xxhash64(body).alias("__mark"), body.alias("__text"), *(F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)))
+    runs = docs.select("__key", "__mark", "__text").mapInArrow(_runs(window, GRAM), _RUN)
+    found = stored(dealt(runs, "h", source=docs, times=2.0).mapInArrow(_meeting(window), _FOUND))
+    asked = found.filter("kind > 0").groupBy("key", "mark").agg(F.collect_list(F.struct("kind", "h", "start", "end", "anchor")).alias("asked"))
+    whole = dealt(docs, "__key", "__mark", source=docs)
+    answers = whole.join(asked, (whole["__key"] == asked["key"]) & (whole["__mark"] == asked["mark"])).select("__key", "__mark", "__text", "asked").mapInArrow(_answers(window), _ANSWER)
+    more = dealt(answers, "h", source=docs).mapInArrow(_sorted_runs(window), _FOUND)
+    spans = found.filter("kind = 0").unionByName(more).groupBy(F.col("key").alias("__of"), F.col("mark").alias("__with")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     schema = f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
     schema = ", ".join([schema, *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "__text", SEGMENT):
-            marks, raw = text_mark(block.data, block.off).tolist(), memoryview(block.data.tobytes())
+            raw = memoryview(block.data.tobytes())
             out: list[tuple] = []
-            for k, mark, a, b, spans in zip(block.ints("__key").tolist(), marks, block.off[:-1].tolist(), block.off[1:].tolist(), block.column("spans").to_pylist(), strict=True):
-                own = sorted((s["start"], s["end"]) for s in spans or () if s["mark"] == mark)
+            for k, a, b, spans in zip(block.ints("__key").tolist(), block.off[:-1].tolist(), block.off[1:].tolist(), block.column("spans").to_pylist(), strict=True):
+                own = sorted((s["start"], s["end"]) for s in spans or ())
                 kept, at, removed, n = [], 0, 0, 0
                 for start, end in own:
                     if start > at or not n:
@@ -371,7 +379,7 @@ def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", win
             arrays = [pa.array(x, type=t) for x, t in zip(columns, types, strict=True)][: 5 + with_text]
             yield pa.RecordBatch.from_arrays(arrays + [block.column(c) for c in carried], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text] + list(carry))
 
-    return dealt.join(spans, dealt["__key"] == spans["__of"], "left").select("__key", "__text", "spans", *carried).mapInArrow(cut, schema)
+    return whole.join(spans, (whole["__key"] == spans["__of"]) & (whole["__mark"] == spans["__with"]), "left").select("__key", "__text", "spans", *carried).mapInArrow(cut, schema)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
