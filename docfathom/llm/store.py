@@ -41,7 +41,7 @@ def dealt(df: DataFrame, *columns: str, source: DataFrame, times: float = 1.0) -
     number of tasks depends on it.
     """
     spark = df.sparkSession
-    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     tasks = int(size * UNPACKED * times // TASK_BYTES)
     few = tasks <= int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(*columns) if few or size >= 1 << 60 else df.repartition(tasks, *columns)  # tables without files have no known size

@@ -94,6 +94,7 @@ class Distance:
         kind = zstandard.DICT_TYPE_FULLDICT if tables else zstandard.DICT_TYPE_RAWCONTENT
         data = zstandard.ZstdCompressionDict(tables + content.ljust(8), dict_type=kind)
         how = zstandard.ZstdCompressionParameters(window_log=19, hash_log=17, chain_log=18, search_log=5, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+        data.precompute_compress(compression_params=how)  # or each call would digest it anew
         return zstandard.ZstdCompressor(dict_data=data, compression_params=how)
 
     def __reduce__(self):

@@ -130,3 +130,38 @@ def test_radix_groups_are_the_equal_windows():
 def test_empty_tables(empty):
     assert ngram_join.near_duplicates(empty).count() == 0
     assert suffix_dedup.dedup_substrings(empty).count() == 0
+
+
+def test_texts_under_one_key_and_rows_without_a_key(spark):
+    rng = np.random.default_rng(5)
+    draw = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    base, other = draw(500), draw(400)
+    rows = [(5, base), (5, other), (7, base[100:400]), *((None, draw(300)) for _ in range(40)), (None, base)]
+    got = suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in got)
+    # The text without a key comes first: both copies under keys go, nothing else does.
+    assert [x for x in by if x[0]] == [(5, 400, 0), (5, 500, 500), (7, 300, 300)]
+    assert sum(x[2] for x in by if not x[0]) == 0
+
+
+def test_rows_without_near_duplicates(spark):
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    a, z, q = text(60), text(60), text(60)
+    near = " ".join([*a.split()[:-1], "changed"])
+    rows = [(1, a, "x"), (2, a, "y"), (2, z, "x"), (3, q, "x"), (3, q, "x"), (None, near, "x"), (None, text(40), "x"), (4, None, "x"), (5, "", "x"), (6, "", "x"), (4, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, cls string")
+    kept = ngram_join.without_near_duplicates(df)
+    assert kept.columns == df.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "", r["text"] is None) for r in kept.collect())
+    want = sorted([(1, a, False), (2, z, False), (3, q, False), (0, rows[6][1], False), (4, "", True), (5, "", False), (6, "", False)])
+    assert got == want
+    assert ngram_join.without_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_whole_runs_are_sorted_by_their_bytes():
+    pieces = [b"a" * 120, b"b" * 120, b"a" * 120, b"a" * 119 + b"c", b"a" * 130, b"a" * 130]
+    length = np.array([len(x) for x in pieces])
+    which, group = suffix_dedup.equal_runs(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(length) - length, length, np.zeros(6, np.int64))
+    by = sorted(sorted(which[group == g].tolist()) for g in set(group.tolist()))
+    assert by == [[0, 2], [4, 5]]

@@ -185,3 +185,94 @@ def test_fertility_rejects_what_the_vocabulary_does_not_fit(spark):
     good = "the quick brown fox jumps over the lazy dog while many other words of plain prose follow in this line " * 1
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame([(1, odd), (2, good)], "doc_id long, text string")).collect()}
     assert got[2]["kept"] and not got[1]["kept"] and got[1]["byte_share"] > 0.5
+
+
+def test_fertility_equals_brute_force(spark):
+    import public_tokenizers
+    import tiktoken
+    import base64
+    import sentencepiece
+
+    texts = ["the quick brown fox jumps over it", "Größe naïve 日本語 テキスト 😀", "привет мир как дела", "", "한국어 문장 입니다", "x" * 50]
+    one = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    two = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    whole = {i for i, b in {v: k for k, v in ranks.items()}.items() if b.decode("utf-8", "ignore").encode() == b}
+    names = ["latin", "kana", "cyrillic", "other", "hangul", "latin"]
+    for r in quality_rules.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        words = texts[r["doc_id"]].split()
+        chars = sum(map(len, words))
+        a = [t for w in words for t in one.encode(w)]
+        b = [t for w in words for t in two.encode_ordinary(f" {w}")]
+        assert math.isclose(r["chars_per_token"], chars / max(len(a), 1)) and math.isclose(r["chars_per_token_multi"], chars / max(len(b), 1))
+        assert math.isclose(r["byte_share"], sum(one.is_byte(t) or one.is_unknown(t) for t in a) / max(len(a), 1))
+        assert math.isclose(r["byte_share_multi"], sum(t not in whole for t in b) / max(len(b), 1))
+        want = -sum(c / len(a) * math.log2(c / len(a)) for c in Counter(a).values()) if a else 0.0
+        assert math.isclose(r["token_entropy"], want, abs_tol=1e-9)
+        assert list(quality_rules.BANDS)[r["script"]] == names[r["doc_id"]] or r["doc_id"] == 1
+
+
+def test_windows_cover_texts_and_save_what_the_compressors_say():
+    rng = random.Random(3)
+    text = clean(rng) * 5 + " " + "ล" * 100 + " " + "word " * 3
+    pieces = toxicity._PIECES.findall(toxicity.spelled(text))
+    some = [w for part in toxicity.windows(text) for w in part]
+    want, a = [], 0
+    while True:
+        want.append(("".join(pieces[a : a + toxicity.WINDOW]) + " ").encode())
+        if a + toxicity.WINDOW >= len(pieces):
+            break
+        a += toxicity.STRIDE
+    assert some == want
+    assert [w for part in toxicity.windows("12 34 !!") for w in part] == [w for part in toxicity.windows(None) for w in part] == []
+    toxic, ordinary = [f"{clean(rng)} vileword".encode() for _ in range(200)], [clean(rng).encode() for _ in range(400)]
+    tables, content = toxicity.trained(ordinary, 4096, 64)
+    _, more = toxicity.trained(toxic, 1024, 32)
+    distance = toxicity.Distance(more, content, tables)
+    by_one = [len(distance.plain.compress(w)) - len(distance.toxic.compress(w)) for w in some]
+    assert distance.saved(some).tolist() == by_one
+    assert distance.saved([b" the vileword of stone "])[0] > 0
+
+
+def test_votes_equal_brute_force(labelled):
+    docs, labels = labelled
+    rows = docs.filter("doc_id < 200")
+    model = quality_knn.fit(rows, labels, "doc_id", "text", "quality", quality_knn.fold("doc_id", 5) == 0)
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    import pyarrow as pa
+    from docfathom.llm.textblocks import blocks
+
+    for r in quality_knn.classify(rows, labels).limit(60).collect():
+        block = next(blocks([pa.RecordBatch.from_pydict({"text": [texts[r["doc_id"]] or ""]})]))
+        terms = model.vocabulary.vectors(block)
+        v = (terms * model.idf) @ model.basis
+        v = v[0] / max(np.linalg.norm(v[0]), 1e-12)
+        cosine = np.array([float(np.dot(v, u)) for u in model.vectors])
+        edge = np.sort(cosine)[::-1][min(15, len(cosine)) - 1]
+        weight = np.where(cosine >= edge - 1e-6, np.maximum(cosine, 0) ** quality_knn.POWER, 0)
+        assert abs(r["score"] - (weight @ model.y / weight.sum() if terms.any() else model.prior)) < 1e-3
+
+
+def test_words_decide_where_formats_are_equal(spark):
+    rng = random.Random(8)
+    kinds = (["river", "stone", "light", "house"], ["spamm", "clicc", "winnn", "freee"])
+    rows = [(i, " ".join(rng.choice(kinds[i % 3 == 0]) for _ in range(40))) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(300)], "doc_id long, quality int")
+    got = quality_knn.classify(spark.createDataFrame(rows, "doc_id long, text string"), labels).filter("doc_id >= 300").collect()
+    assert all(r["predicted"] == int(r["doc_id"] % 3 != 0) for r in got) and len(got) == 100
+
+
+def test_redaction_of_long_texts_equals_brute_force(spark):
+    rng = random.Random(6)
+    parts = ["10.0.0.1 ", "é😀", "a.b@c.de ", "words of a line\n", "+1 (555) 555-0100 ", "4111 1111 1111 1111; "]
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for n in (0, 1, 40, 700, 3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in personal_data.personal_data(df).collect()}
+    for r in personal_data.redact(df).collect():
+        text, out, at = texts[r["doc_id"]], [], 0
+        found = sorted((int(a), personal_data.KINDS.index(k), int(b)) for k, a, b in (s.split(":") for s in spans[r["doc_id"]].split(",") if s))
+        for a, k, b in found:
+            if a >= at:
+                out += [text[at:a], f"<{personal_data.KINDS[k]}>"]
+            at = max(at, b)
+        assert r["text"] == "".join(out) + text[at:]
