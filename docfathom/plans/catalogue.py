@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, documents, retrieval, stateful  # noqa: F401  they register their queries
+from . import audit, documents, evaluation, retrieval, stateful  # noqa: F401  they register their queries
 from .base import ORACLES, QUERIES
 
 
