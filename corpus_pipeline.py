@@ -61,7 +61,7 @@ STAGES = [
     ("best-fit packing", sequences),
 ]
 
-#: No stage can be expressed in SQL: tests/llm/test_pipeline.py holds each against a brute-force version.
+#: No stage can be expressed in SQL: tests/llm/test_pipeline.py holds each against brute force or its operator, itself tested so.
 ORACLE_SQL = None
 
 
