@@ -37,10 +37,19 @@ def reachable(edges: DataFrame, start: DataFrame, steps: int = MAX_STEPS) -> Dat
         SELECT node, min(steps) AS steps FROM walk GROUP BY node""")
 
 
+#: Edges of a configured graph at most.
+CONFIGURED_EDGES = 100_000
+
+
 def has_cycle(edges: DataFrame) -> bool:
-    """Whether directed edges (from, to; ``alternative`` ones don't count) hold a cycle: sources are peeled off until none is left."""
+    """Whether directed edges (from, to; ``alternative`` ones don't count) hold a cycle: sources are peeled off until none is left.
+
+    For configured graphs; more than CONFIGURED_EDGES edges are an error.
+    """
     left = edges.filter("relation <> 'alternative'") if "relation" in edges.columns else edges
-    pairs = {(r["from"], r["to"]) for r in left.select("from", "to").distinct().collect()}  # a configured graph
+    pairs = {(r["from"], r["to"]) for r in left.select("from", "to").distinct().limit(CONFIGURED_EDGES + 1).collect()}
+    if len(pairs) > CONFIGURED_EDGES:
+        raise ValueError(f"more than {CONFIGURED_EDGES} edges")
     while pairs:
         targets = {b for _, b in pairs}
         kept = {(a, b) for a, b in pairs if a in targets}
@@ -68,6 +77,7 @@ def category_tree(rows: DataFrame, path: str) -> DataFrame:
     return rows.filter(F.size(path) > 0).select(F.explode(prefixes).alias("path")).groupBy("path").agg(F.count("*").alias("total"))
 
 
-def previous_and_next(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    w = Window.orderBy(*order)
+def previous_and_next(rows: DataFrame, key: str, *order: str, by: str) -> DataFrame:
+    """Each row's neighbours in the order of its group ``by`` (a track, a section)."""
+    w = Window.partitionBy(by).orderBy(*order)
     return rows.select(key, F.lag(key).over(w).alias("previous"), F.lead(key).over(w).alias("next"))

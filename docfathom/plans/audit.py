@@ -177,8 +177,7 @@ def code_ordinal(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT c_custkey, lag(c_custkey) OVER w AS previous, lead(c_custkey) OVER w AS next FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)")
 def prev_next_nav(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    return table(spark, sf, "customer").select("c_custkey", F.lag("c_custkey").over(w).alias("previous"), F.lead("c_custkey").over(w).alias("next"))
+    return G.previous_and_next(table(spark, sf, "customer"), "c_custkey", "c_custkey", by="c_nationkey")
 
 
 @query("WITH u AS (SELECT o_custkey AS k, 1 AS priority, o_orderkey AS \"at\" FROM orders WHERE o_orderstatus='F' UNION ALL SELECT o_custkey, 2, o_orderkey FROM orders WHERE o_orderstatus='O' UNION ALL SELECT o_custkey, 3, o_orderkey FROM orders WHERE o_orderstatus='P') SELECT k, priority, u.\"at\" FROM u QUALIFY row_number() OVER (PARTITION BY k ORDER BY priority, u.\"at\")=1")

@@ -270,7 +270,7 @@ def title_mentions_nonoverlap(spark: SparkSession, sf: str) -> DataFrame:
 _RANKS = _DENSE.format("-2") + ", k AS (SELECT query_id, q.label, rank FROM r JOIN (SELECT vec_id, label FROM embeddings) q ON q.vec_id=query_id WHERE r.label=q.label AND r.position<>query_id), n AS (SELECT a.vec_id AS query_id, a.label, count(*) AS relevant FROM embeddings a JOIN embeddings b ON a.label=b.label AND a.vec_id<>b.vec_id WHERE a.vec_id<20 GROUP BY 1,2), m AS (SELECT n.query_id, n.label, relevant, count(*) FILTER (WHERE rank<=5)/relevant AS r5, count(*) FILTER (WHERE rank<=20)/relevant AS r20, coalesce(1.0/min(rank) FILTER (WHERE rank<=20),0) AS rr, coalesce(sum(1/log2(rank+1)) FILTER (WHERE rank<=20),0)/list_sum(list_transform(range(1,least(relevant,20)+1), lambda i: 1/log2(i+1))) AS nd FROM n LEFT JOIN k USING(query_id) GROUP BY n.query_id, n.label, relevant) "
 
 
-def _metrics(spark: SparkSession, sf: str, which: str = "vec_id < 20", k: int | None = None) -> DataFrame:
+def _metrics(spark: SparkSession, sf: str, which: str = "vec_id < 20", k: int = 20) -> DataFrame:
     from_label = table(spark, sf, "embeddings").filter(which).select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
     ranking = R.dense(_vectors(spark, sf), _asked_vectors(spark, sf, which), k=k, floor=-2.0).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("position"), "label"), "position")
     hits = ranking.join(from_label if which == "true" else F.broadcast(from_label), "query_id").filter((F.col("label") == F.col("wanted")) & (F.col("position") != F.col("query_id")))
@@ -292,12 +292,12 @@ def metrics_by_category(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def recall_mrr_ndcg_all(spark: SparkSession, sf: str) -> DataFrame:
     """Every vector is a case; no figure looks beyond rank 20."""
-    return _metrics(spark, sf, "true", 20).select("query_id", *(F.round(c, 4).alias(c) for c in ("recall_at_5", "recall_at_20", "mrr_at_20", "ndcg_at_20")))
+    return _metrics(spark, sf, "true").select("query_id", *(F.round(c, 4).alias(c) for c in ("recall_at_5", "recall_at_20", "mrr_at_20", "ndcg_at_20")))
 
 
 @query()
 def metrics_by_category_all(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.summary(_metrics(spark, sf, "true", 20), "label")
+    return metrics.summary(_metrics(spark, sf, "true"), "label")
 
 
 @query(r"""WITH s AS (SELECT doc_id, i, trim(x) AS sentence FROM (SELECT doc_id, unnest(string_split(text,'.')) AS x, generate_subscripts(string_split(text,'.'),1) AS i FROM documents) WHERE trim(x)<>''), k AS (SELECT *, (CASE WHEN contains(lower(sentence),'the') THEN 1 ELSE 0 END)+(CASE WHEN contains(lower(sentence),'tion') THEN 1 ELSE 0 END) AS hits FROM s)

@@ -86,7 +86,10 @@ def session_window_2h(spark: SparkSession, sf: str) -> DataFrame:
 
 def _folder(spark: SparkSession) -> str:
     """A place for a stream's result: the folder that driver and executors share, or one of our own in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docfathom-stream-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    shared = shared or tempfile.mkdtemp(prefix="docfathom-stream-")
     return f"{shared}/stream-{uuid.uuid4().hex}"
 
 
