@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .license_scan import COVERED, LONG, NEAR, VOTES
+from .license_templates import PHRASES, TEMPLATES
+
 #: Near duplicates: all pairs that share a shingle, their overlaps, and the smallest id that links reach.
 OP4 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w)=0 THEN [] WHEN len(w)<4 THEN [array_to_string(w,' ')] ELSE list_distinct(list_transform(range(1,len(w)-2), lambda i: array_to_string(w[i:i+3],' '))) END AS s FROM w),
@@ -21,3 +24,25 @@ s AS (SELECT doc_id, min(p) AS a, max(p)+100 AS b FROM i GROUP BY doc_id, run),
 c AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a),0) AS before FROM s),
 t AS (SELECT c.doc_id, string_agg(substring(h,(2*before+1)::INT,(2*(a-before))::INT),'' ORDER BY a) AS kept, sum(b-a)::BIGINT AS removed, count(*) AS spans, max(b) AS last FROM c JOIN d USING(doc_id) GROUP BY 1)
 SELECT d.doc_id, (length(h)//2)::BIGINT AS n_bytes, coalesce(removed,0)::BIGINT AS n_removed, coalesce(spans,0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN t.doc_id IS NULL THEN h ELSE kept||substring(h,(2*last+1)::INT) END)) AS kept_sha256 FROM d LEFT JOIN t USING(doc_id)"""
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+#: Licenses: phrases by comparing slices of words; three-word strings joined to those of the templates, votes by diagonal, neighbouring
+#: diagonals as islands, and the template words that an island covers.
+OP11 = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+f(label, f) AS (VALUES {", ".join(f"('{label}', string_split('{text}',' '))" for label, text in PHRASES)}),
+b AS (SELECT doc_id, label, i-1 AS k FROM (SELECT doc_id, w, label, f, unnest(range(1,len(w)-len(f)+2)) AS i FROM d, f) WHERE w[i]=f[1] AND w[i:i+len(f)-1]=f),
+n AS (SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word FROM b GROUP BY 1),
+t(id, label, w) AS (VALUES {", ".join(f"({i}, '{label}', string_split('{text}',' '))" for i, (label, text) in enumerate(TEMPLATES))}),
+g AS (SELECT id, label, n, i-1 AS t, array_to_string(w[i:i+2],' ') AS g FROM (SELECT *, len(w) AS n, unnest(range(1,len(w)-1)) AS i FROM t)),
+p AS (SELECT doc_id, i-1 AS p, array_to_string(w[i:i+2],' ') AS g FROM (SELECT *, unnest(range(1,len(w)-1)) AS i FROM d)),
+v AS (SELECT doc_id, id, label, n, p-t AS dg, list(t) AS ts FROM p JOIN g USING(g) GROUP BY 1,2,3,4,5 HAVING count(*)>=least({VOTES},n-2)),
+a AS (SELECT *, CASE WHEN dg-lag(dg) OVER (PARTITION BY doc_id,id ORDER BY dg)>{NEAR} THEN 1 ELSE 0 END AS apart FROM v),
+s AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id,id ORDER BY dg) AS span FROM a),
+c AS (SELECT doc_id, id, label, n, count(DISTINCT t+x) AS covered FROM (SELECT *, unnest(ts) AS t FROM s), (VALUES (0),(1),(2)) AS x(x) GROUP BY doc_id,id,label,n,span),
+l AS (SELECT doc_id, label, max(covered/n) AS share FROM c WHERE 100*covered>=CASE WHEN n<{LONG} THEN 100 ELSE {COVERED} END*n GROUP BY 1,2),
+m AS (SELECT doc_id, max(share) AS share FROM l GROUP BY 1),
+u AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM l UNION SELECT doc_id, label FROM b) GROUP BY 1),
+o AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base,0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels,'') AS base_labels, coalesce(labels,'') AS labels,
+CASE WHEN n_base>0 THEN 1.0 ELSE coalesce(share,0.0) END::DOUBLE AS score FROM d LEFT JOIN n USING(doc_id) LEFT JOIN m USING(doc_id) LEFT JOIN u USING(doc_id) LEFT JOIN o USING(doc_id)"""

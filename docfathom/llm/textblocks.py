@@ -111,9 +111,13 @@ def ascii_lower(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data | np.uint8(32), data)
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each row: starts, ends, and the index of each row's first word (len n+1)."""
-    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+def words(data: np.ndarray, off: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each row: starts, ends, and the index of each row's first word (len n+1).
+
+    ``solid`` marks the bytes of words; by default words are ``[^\\x20\\x09-\\x0D]+``.
+    """
+    if solid is None:
+        solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
     before = np.empty(len(data), dtype=bool)
     before[1:] = solid[:-1]
     after = np.empty(len(data), dtype=bool)
@@ -126,6 +130,15 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.searchsorted(start, off)
 
 
+def word_strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.StringArray:
+    """Words that follow each other as one Arrow column."""
+    length = end - start
+    offsets = np.zeros(len(start) + 1, np.int32)
+    np.cumsum(length, out=offsets[1:])
+    chars = data[np.repeat(start, length) + ragged(length)]
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(chars))
+
+
 def ragged(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for each count c, one after another."""
     ends = np.cumsum(counts)
