@@ -46,3 +46,18 @@ u AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FR
 o AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base,0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels,'') AS base_labels, coalesce(labels,'') AS labels,
 CASE WHEN n_base>0 THEN 1.0 ELSE coalesce(share,0.0) END::DOUBLE AS score FROM d LEFT JOIN n USING(doc_id) LEFT JOIN m USING(doc_id) LEFT JOIN u USING(doc_id) LEFT JOIN o USING(doc_id)"""
+
+#: Divergence of sources: every kept term of every group, absent ones too.
+OP12 = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang,'') AS lang, coalesce(source,'') AS source, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY 1,2 HAVING count(DISTINCT r)>=10),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang, t.source, t.term, count(*)::HUGEINT AS n FROM t SEMI JOIN k ON t.lang=k.lang AND t.term=k.term GROUP BY 1,2,3),
+s AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY 1,2),
+a AS (SELECT g.lang, g.source, k.term, coalesce(c.n,0)::HUGEINT AS n, 1+1000000000*(coalesce(c.n,0)+2)//(coalesce(s.total,0)+2*l.v) AS p, 1+1000000000*(k.n+2)//(l.total+2*l.v) AS q
+ FROM g JOIN k USING(lang) JOIN l USING(lang) LEFT JOIN s ON s.lang=g.lang AND s.source=g.source LEFT JOIN c ON c.lang=g.lang AND c.source=g.source AND c.term=k.term),
+p AS (SELECT x.lang, x.source, y.source AS item, sum((x.p-y.p)*(x.p-y.p)//(x.p+y.p)) AS value FROM a x JOIN a y ON x.lang=y.lang AND x.term=y.term AND x.source<>y.source GROUP BY 1,2,3),
+o AS (SELECT lang, source, 'pair' AS part, item, coalesce(value,0) AS value FROM (SELECT x.lang, x.source, y.source AS item FROM g x JOIN g y ON x.lang=y.lang AND x.source<>y.source) LEFT JOIN p USING(lang, source, item)
+ UNION ALL SELECT lang, source, 'term', term, (p-q)*(p-q)//(p+q) FROM a WHERE n>0 AND p>q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o) WHERE part='pair' OR rank<=10"""
