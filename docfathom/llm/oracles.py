@@ -61,3 +61,20 @@ p AS (SELECT x.lang, x.source, y.source AS item, sum((x.p-y.p)*(x.p-y.p)//(x.p+y
 o AS (SELECT lang, source, 'pair' AS part, item, coalesce(value,0) AS value FROM (SELECT x.lang, x.source, y.source AS item FROM g x JOIN g y ON x.lang=y.lang AND x.source<>y.source) LEFT JOIN p USING(lang, source, item)
  UNION ALL SELECT lang, source, 'term', term, (p-q)*(p-q)//(p+q) FROM a WHERE n>0 AND p>q)
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o) WHERE part='pair' OR rank<=10"""
+
+#: Periodic runs: pairs of equal words at each distance, as islands; the hash of an id bit by bit.
+OP13 = r"""WITH c AS (SELECT doc_id, regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+') AS w, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR,''), lambda x: ascii(x)::BIGINT)),
+ lambda c, b: list_reduce(list_prepend(xor(c,b), [0::BIGINT,1,2,3,4,5,6,7]), lambda x, i: CASE WHEN x&1=1 THEN xor(x>>1, 3988292384::BIGINT) ELSE x>>1 END))) AS h FROM documents),
+n AS (SELECT doc_id, w, len(w) AS n, h, h//10 AS g FROM c),
+a AS (SELECT *, CASE WHEN n>0 AND h%10=0 THEN g%n END AS a FROM n),
+p AS (SELECT *, 1+(n-a)//(3+g%8) AS p FROM a),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0,n), lambda i: CASE WHEN i<a THEN w[i+1] ELSE w[a+(i-a)%p+1] END) END AS w FROM p),
+e AS (SELECT doc_id, n, i-1 AS i, w[i] AS x FROM (SELECT doc_id, n, w, unnest(range(1,n+1)) AS i FROM d)),
+q AS (SELECT b.doc_id, a.i, b.i-a.i AS q FROM e a JOIN e b ON a.doc_id=b.doc_id AND a.x=b.x AND a.i<b.i WHERE 4*(b.i-a.i)<=b.n),
+s AS (SELECT doc_id, q, min(i) AS start, count(*)+q AS length FROM (SELECT *, i-row_number() OVER (PARTITION BY doc_id,q ORDER BY i) AS island FROM q) GROUP BY doc_id,q,island HAVING count(*)+q>=greatest(6,4*q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY 1,2,3),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period)=1),
+m AS (SELECT doc_id, count(*) AS n_runs, string_agg(start||','||length||','||period||chr(10), '' ORDER BY start, period) AS said FROM r GROUP BY 1),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id=e.doc_id AND i>=start+period AND i<start+length) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs,0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000*length//period)::BIGINT AS exponent_milli, sha256(coalesce(said,'')) AS runs_sha256, sha256(coalesce(kept,'')) AS collapsed_sha256
+FROM d LEFT JOIN b USING(doc_id) LEFT JOIN m USING(doc_id) LEFT JOIN k USING(doc_id)"""
