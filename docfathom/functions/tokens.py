@@ -9,16 +9,21 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-VERSION = "dashscope-compatible-estimate-v1"
+#: Name of the estimate, kept with what was split by it.
+VERSION = "estimate-v1"
+#: Pieces of a text; parts of a word; where a text may be cut (after a sentence, at a blank line, after a full
+#: stop before a capital or digit); signs at which a long sentence is cut, if they stand in the last part of what fits.
 _PIECE = re.compile(r"[㐀-䶿一-鿿豈-﫿]|[a-zA-Z0-9_]+|[^\s]")
 _PART = re.compile(r"[A-Z]?[^A-Z_]+|[A-Z]")
-#: Where a text may be cut: after a sentence, at a blank line, after a full stop before a capital or digit.
 _SENTENCE = re.compile(r"(?<=[。！？!?；;])\s*|\n{2,}|(?<=\.)\s+(?=[A-Z0-9])")
+_FREE = re.compile(r"[\s_]*")
+_SIGNS, _LAST_PART = " \n，,", 0.6
 
 
 def estimate(text: str | None) -> int:
@@ -32,48 +37,62 @@ def estimate(text: str | None) -> int:
     return total
 
 
+def token_ends(text: str) -> np.ndarray:
+    """Where each token of the estimate ends; a word's tokens end after every four characters of a part and at its end."""
+    ends: list[int] = []
+    for piece in re.finditer(r"[a-zA-Z0-9_]+|\S", text):
+        if piece[0].isascii() and (piece[0][0].isalnum() or piece[0][0] == "_"):
+            for part in _PART.finditer(piece[0]):
+                at, end = piece.start() + part.start(), piece.start() + part.end()
+                ends += [*range(at + 4, end, 4), end]
+        else:
+            ends += [piece.end()] * estimate(piece[0])
+    return np.array(ends, np.int64)
+
+
+def _sentences(text: str) -> list[tuple[int, int]]:
+    """Spans of sentences; of lines where there is but one sentence."""
+    for pattern in (_SENTENCE, re.compile("\n")):
+        marks = [(0, 0), *(m.span() for m in pattern.finditer(text)), (len(text), len(text))]
+        spans = [(a, b) for (_, a), (b, _) in zip(marks, marks[1:], strict=False) if text[a:b].strip()]
+        if len(spans) > 1:
+            break
+    return spans
+
+
 def split_by_budget(text: str | None, most: int) -> list[str]:
-    """Parts of at most ``most`` tokens: whole sentences joined while they fit; a longer one is cut at a space or comma if near."""
-    whole = (text or "").strip()
-    most = max(1, int(most or 1))
-    if not whole or estimate(whole) <= most:
+    """Parts of at most ``most`` tokens: whole sentences joined while they fit; a longer one is cut at a space or comma if near.
+
+    A comma right after what fits stays with it, so a cut part may have one token more.
+    """
+    whole, most = (text or "").strip(), max(1, int(most or 1))
+    ends = token_ends(whole)
+    if len(ends) <= most:
         return [whole] if whole else []
-    units = [u.strip() for u in _SENTENCE.split(whole) if u and u.strip()]
-    if len(units) <= 1:
-        units = [u for u in whole.split("\n") if u]
-    out: list[str] = []
-    held, size = "", 0  # sizes add up: no piece reaches over the blank line between units
-    for unit in units:
-        n = estimate(unit)
-        if n > most:
-            if held.strip():
-                out.append(held.strip())
-            *cut, held = _hard_split(unit, most)
-            out += cut
-            size = estimate(held)
-            continue
-        if held and size + n > most:
-            out.append(held.strip())
-            held, size = "", 0
-        held, size = f"{held}\n\n{unit}" if held else unit, size + n
-    return [*out, held.strip()] if held.strip() else out
-
-
-def _hard_split(rest: str, most: int) -> list[str]:
-    """Pieces within the budget; the last is what remains (maybe empty)."""
-    out = []
-    while rest and estimate(rest) > most:
-        low, high = 1, min(len(rest), 4 * most)
-        while high < len(rest) and estimate(rest[:high]) <= most:
-            low, high = high, min(len(rest), 2 * high)
-        while low < high:  # the longest beginning that fits
-            middle = (low + high + 1) // 2
-            low, high = (middle, high) if estimate(rest[:middle]) <= most else (low, middle - 1)
-        near = max(rest.rfind(c, 0, low + 1) for c in " \n，,")
-        at = near + 1 if near >= int(low * 0.6) else low
-        out.append(rest[:at].strip())
-        rest = rest[at:].strip()
-    return [*out, rest]
+    parts: list[list[str]] = [[]]
+    left = most
+    for start, stop in _sentences(whole):
+        first, last = np.searchsorted(ends, (start, stop), side="right").tolist()
+        fits = last - first <= left
+        while True:
+            if not fits and parts[-1]:
+                parts.append([])
+                left = most
+            reach = stop
+            if last - first > most:  # up to the last sign that stands late enough in what fits, else all of it
+                reach = int(ends[first + most - 1])
+                if ends[first + most] == reach:  # one character of several tokens: it goes as a whole, alone if it must
+                    reach = int(ends[max(first, int(np.searchsorted(ends, reach)) - 1)])
+                reach = min(_FREE.match(whole, reach).end(), stop)
+                sign = max(whole.rfind(c, start, reach + 1) for c in _SIGNS)
+                if sign - start >= int((reach - start) * _LAST_PART):
+                    reach = sign + 1
+            parts[-1].append(whole[start:reach].strip())
+            now = int(np.searchsorted(ends, reach, side="right"))
+            left, start, first, fits = left - (now - first), reach, now, False
+            if first >= last:
+                break
+    return ["\n\n".join(filter(None, p)) for p in parts if any(p)]
 
 
 @F.pandas_udf(IntegerType())

@@ -25,9 +25,9 @@ def best(candidates: DataFrame, by: str, *order: Column) -> DataFrame:
 
 
 def best_evidence(candidates: DataFrame, by: str = "query_id") -> DataFrame:
-    """Of each query the candidate of the longest title that the question holds, then of most coverage, score and rank."""
+    """Of each query the candidate of the longest title that the question holds, then of most coverage, score, rank and the smallest id."""
     named = F.when(F.contains(F.lower("question"), F.lower("title")) & (F.length("title") > 0), F.length("title")).otherwise(0)
-    return best(candidates.withColumn("__named", named), by, F.desc("__named"), F.desc("coverage"), F.desc("score"), F.asc("rank")).drop("__named")
+    return best(candidates.withColumn("__named", named), by, F.desc("__named"), F.desc("coverage"), F.desc("score"), F.asc("rank"), F.asc("id")).drop("__named")
 
 
 def grounded(evidence: DataFrame, assignments: DataFrame) -> DataFrame:

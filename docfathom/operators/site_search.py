@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def search(items: DataFrame, words: list[str], most: int) -> DataFrame:
     """``items`` (id, content) that hold a word: by number of different words, then of hits, then id, descending."""
     low = F.lower("content")
-    count = lambda w: F.expr(f"(length(low) - length(replace(low, '{w}', ''))) div {len(w)}")
+    count = lambda w: ((F.length("low") - F.length(F.replace("low", F.lit(w), F.lit("")))) / len(w)).cast("long")
     out = items.withColumn("low", low)
-    counts = F.array(*(count(w.replace("'", "''")) for w in words))
+    counts = F.array(*(count(w.lower()) for w in words if w))
     out = out.withColumn("counts", counts).select("id", "content", F.size(F.filter("counts", lambda n: n > 0)).cast("long").alias("hit_words"), F.aggregate("counts", F.lit(0).cast("long"), lambda s, n: s + n).alias("hits")).filter("hits > 0")
     top = out.orderBy(F.desc("hit_words"), F.desc("hits"), F.desc("id")).limit(most)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("hit_words"), F.desc("hits"), F.desc("id"))).cast("long"))

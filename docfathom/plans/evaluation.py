@@ -104,7 +104,7 @@ def best_candidate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT lang AS query_id, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY CASE WHEN source IN ('src1','src11') THEN length(source) ELSE 0 END DESC, n_chars%7 DESC, n_chars DESC, doc_id)=1")
 def best_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select(F.col("lang").alias("query_id"), F.lit("What is SRC11?").alias("question"), F.col("source").alias("title"), (F.col("n_chars") % 7).alias("coverage"), F.col("n_chars").alias("score"), F.col("doc_id").alias("rank"), "doc_id")
+    rows = table(spark, sf, "documents").select(F.col("lang").alias("query_id"), F.lit("What is SRC11?").alias("question"), F.col("source").alias("title"), (F.col("n_chars") % 7).alias("coverage"), F.col("n_chars").alias("score"), F.col("doc_id").alias("rank"), F.col("doc_id").alias("id"), "doc_id")
     return S.best_evidence(rows).select("query_id", "doc_id")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docfathom.operators import conversation as C
 from docfathom.streaming import state as S
 
-from .base import query, table
+from .base import ORACLES, query, table
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,10 +99,11 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("SELECT user_id, event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1,2")
+@query(ORACLES["request_dedupe"])
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    first = S.idempotent(_stream(spark, sf, "events").select("user_id", "event_type", "ts"), "ts", "user_id", "event_type")
-    return S.run_available(first.select("user_id", "event_type"), _folder(spark)).withColumn("n", F.lit(1).cast("long"))
+    """The rule of ``request_dedupe`` on a stream."""
+    first = S.idempotent(_stream(spark, sf, "events").select("user_id", "event_type", "ts", "event_id"), "ts", "event_id", "user_id", "event_type")
+    return S.run_available(first.select("event_id"), _folder(spark))
 
 
 @query("WITH m AS (SELECT max(ts)-INTERVAL 30 MINUTE AS w FROM events) SELECT b AS begins, n, round(level,6) AS level FROM (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS b, count(*) AS n, avg(value) AS level FROM events GROUP BY 1), m WHERE level>60 AND b+INTERVAL 15 MINUTE<=w")

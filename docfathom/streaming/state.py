@@ -13,9 +13,30 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from docfathom.operators.conversation import KEPT_MESSAGES, KEPT_TOPICS, MEMORY_DAYS, REQUEST_HOURS
 
 
-def idempotent(requests: DataFrame, at: str, *keys: str) -> DataFrame:
-    """First arrival of each request within the time that requests are kept."""
-    return requests.withWatermark(at, f"{REQUEST_HOURS} hours").dropDuplicatesWithinWatermark(list(keys))
+def idempotent(requests: DataFrame, at: str, request: str, *keys: str) -> DataFrame:
+    """Requests of a key that come REQUEST_HOURS or more after the one before (or first): ``keys`` and ``request``.
+
+    The time of the key's last request is its state, so the result does not depend on how the rows are dealt to batches,
+    as long as no row is later than the watermark (REQUEST_HOURS); requests of one time go by ``request``.
+    """
+    schema = ", ".join(f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in (*keys, request))
+    apart = REQUEST_HOURS * 3_600_000_000
+
+    def first(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts)).sort_values([at, request])
+        micros = rows[at].astype("datetime64[us]").astype("int64")
+        before = micros.shift()
+        if state.exists:
+            before.iloc[0] = state.get[0]
+        last = int(micros.iloc[-1])
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + apart) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows[before.isna() | (micros - before >= apart)][[*keys, request]]
+
+    return requests.withWatermark(at, f"{REQUEST_HOURS} hours").groupBy(*keys).applyInPandasWithState(first, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def alert_windows(events: DataFrame, at: str, value: str, minutes: int, threshold: float, late: str = "30 minutes") -> DataFrame:

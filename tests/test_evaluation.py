@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from docfathom.operators import site_search
 from docfathom.operators import evaluation, joins, selection
 
 
@@ -49,3 +50,22 @@ def test_rates_of_nothing_are_null_and_costs_need_a_rate(spark):
 def test_unknown_checks_fail(spark):
     rows = spark.createDataFrame([(1, None), (2, 3)], "id int, n int")
     assert [r["passed"] for r in evaluation.checked_cases(rows, {"big": F.col("n") > 2}).orderBy("id").collect()] == [False, True]
+
+
+def test_a_latest_null_is_the_value(spark):
+    left = spark.createDataFrame([(1, "a", 10), (2, "a", 3), (3, "b", 10)], "id int, k string, t int")
+    right = spark.createDataFrame([("a", 1, 1.0), ("a", 5, None)], "k string, t int, v double")
+    assert {r["id"]: r["v"] for r in joins.as_of(left, right, ["k"], "t", "v").collect()} == {1: None, 2: 1.0, 3: None}
+
+
+def test_wide_spans_go_to_few_buckets(spark):
+    spans = [(i, float(a), float(a + n)) for i, (a, n) in enumerate([(0, 1), (0, 0), (3, 9), (-50, 1000), (7, 100000), (8, 8), (16, 64)])]
+    points = [(i, x / 2) for i, x in enumerate(range(-200, 400))] + [(1000, 99999.0), (1001, 100007.0)]
+    got = joins.within(spark.createDataFrame(points, "p int, at double"), spark.createDataFrame(spans, "s int, a double, b double"), "at", "a", "b", 1.0)
+    assert sorted((r["p"], r["s"]) for r in got.collect()) == sorted((p, s) for p, x in points for s, a, b in spans if a <= x < b)
+
+
+def test_search_words_are_literal(spark):
+    items = spark.createDataFrame([(1, "It's what it's"), (2, "a\\b"), (3, "none")], "id long, content string")
+    got = {r["id"]: (r["hit_words"], r["hits"]) for r in site_search.search(items, ["it's", "\\", "a"], 10).collect()}
+    assert got == {1: (2, 3), 2: (2, 2)}
