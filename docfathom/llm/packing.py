@@ -1,8 +1,8 @@
 """Best-fit packing: length patterns fitted to the length histogram by non-negative least squares.
 
 Patterns are multisets of one to three lengths that fill a sequence exactly.
-Their repeat counts are fitted to the histogram of piece lengths, rounded down,
-and given out; what is left is packed best-fit, longest first, on the histogram.
+Their repeat counts are fitted to the histogram of piece lengths, rounded to the nearest number that
+the pieces left allow, and given out; what is left is packed best-fit, longest first, on the histogram.
 The driver only ever sees the histogram (at most ``max_tokens`` rows) and the
 plan made from it; pieces find their places by their rank among those of equal length.
 """

@@ -3,9 +3,9 @@
 Tokeniser fertility: each word, with the mark that stands for the space before
 it, is encoded by two public vocabularies, one with byte fallback and one made for many
 languages; a text's characters per token, the share of tokens that are (parts of)
-single bytes and the entropy of its tokens are held against bands for the script of its
-letters.  Where a script has enough texts in a bounded sample of those that pass the base rules, its bands are
-set by their quantiles; elsewhere the wide ones below hold.
+single bytes and the entropy of its tokens are held against the bands of its script, or of
+digits or symbols where these outnumber letters.  The bands are fixed, so a text's verdict depends on nothing else in
+the table; texts of fewer than ``JUDGED`` tokens are not held against them.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import stored
 from .textblocks import Block, blocks, mix, prefix_hash, range_hash, words
 
 #: Characters that count as symbols (fixed values).
@@ -28,10 +27,10 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 #: Words whose counts a worker keeps before it starts anew.
 POOL_WORDS = 1_000_000
 
-#: Wide bands of scripts: characters per token of the first vocabulary from and to, and of the second; largest share of
-#: byte tokens in the first and in the second; smallest entropy of tokens in bits (for texts of at least ENTROPY_TOKENS tokens).
+#: Bands of scripts: characters per token of the first vocabulary from and to, and of the second; largest share of
+#: byte tokens in the first and in the second; smallest entropy of tokens in bits.
 BANDS = {
-    "latin": (1.35, 6.0, 1.2, 7.0, 0.25, 0.25, 3.6),
+    "latin": (1.3, 6.0, 1.7, 7.0, 0.1, 0.15, 3.6),
     "greek": (0.5, 4.0, 0.5, 5.0, 0.9, 0.6, 3.6),
     "cyrillic": (1.0, 6.0, 0.5, 6.0, 0.35, 0.5, 3.6),
     "hebrew": (0.4, 4.0, 0.5, 5.0, 0.95, 0.7, 3.6),
@@ -41,15 +40,15 @@ BANDS = {
     "kana": (0.3, 3.0, 0.3, 4.0, 0.95, 0.8, 3.6),
     "hangul": (0.25, 3.0, 0.25, 4.0, 1.0, 0.9, 3.6),
     "han": (0.3, 3.0, 0.25, 4.0, 0.95, 0.9, 3.6),
-    "other": (0.2, 6.0, 0.2, 7.0, 1.0, 1.0, 3.0),
+    "other": (0.2, 6.0, 0.2, 7.0, 0.9, 0.9, 3.0),
+    "digits": (1.1, 6.0, 1.2, 7.0, 0.1, 0.15, 4.0),
+    "symbols": (1.4, 6.0, 1.2, 7.0, 0.1, 0.15, 3.0),
 }
-ENTROPY_TOKENS = 64
-#: Texts of the sample at most (by their hash), texts of a script from which they set its bands, the quantile at either
-#: end, how many times its distance from the median a text may stand from the median, and the least limit of byte tokens.
-SAMPLE, ENOUGH, QUANTILE, REACH, LEAST_BYTES = 10_000, 200, 0.005, 3.0, 0.1
-#: Code points from which each script is told: first and last, script (fixed values of the standard's blocks).
+#: Tokens of the first vocabulary from which on a text is held against its bands.
+JUDGED = 64
+#: Code points from which each script is told, ASCII first: first and last, script (fixed values of the standard's blocks).
 SCRIPTS = (
-    (0x41, 0x5A, "latin"), (0x61, 0x7A, "latin"), (0xC0, 0x24F, "latin"), (0x1E00, 0x1EFF, "latin"), (0x370, 0x3FF, "greek"), (0x400, 0x52F, "cyrillic"),
+    (0x41, 0x5A, "latin"), (0x61, 0x7A, "latin"), (0x30, 0x39, "digits"), (0x21, 0x2F, "symbols"), (0x3A, 0x40, "symbols"), (0x5B, 0x60, "symbols"), (0x7B, 0x7E, "symbols"), (0xC0, 0x24F, "latin"), (0x1E00, 0x1EFF, "latin"), (0x370, 0x3FF, "greek"), (0x400, 0x52F, "cyrillic"),
     (0x590, 0x5FF, "hebrew"), (0x600, 0x77F, "arabic"), (0x900, 0xDFF, "indic"), (0xE00, 0xEFF, "thai"), (0x3040, 0x30FF, "kana"), (0x1100, 0x11FF, "hangul"),
     (0xAC00, 0xD7AF, "hangul"), (0x3400, 0x9FFF, "han"),
 )
@@ -195,7 +194,7 @@ def scripts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     point = code_points(data)
     counts = np.zeros((len(names), len(off) - 1), np.int64)
     ascii_only = (data < 0x80).all()
-    for first, last, name in SCRIPTS[:2] if ascii_only else SCRIPTS:
+    for first, last, name in SCRIPTS[:7] if ascii_only else SCRIPTS:
         counts[names.index(name)] += per_row((point >= first) & (point <= last), off)
     return np.where(counts.any(axis=0), counts.argmax(axis=0), names.index("other"))
 
@@ -240,8 +239,8 @@ def measure(block: Block, tokens: tuple[WordTokens, WordTokens], bands: np.ndarr
     out["base_failed"] = (n < LEAST_WORDS) | (100 * out["n_repeat_words"] > MOST_REPEATED * n)
     odd = (out["chars_per_token"] < limit[:, 0]) | (out["chars_per_token"] > limit[:, 1]) | (out["chars_per_token_multi"] < limit[:, 2]) | (out["chars_per_token_multi"] > limit[:, 3])
     odd |= (out["byte_share"] > limit[:, 4]) | (out["byte_share_multi"] > limit[:, 5])
-    odd |= (out["n_tokens"] >= ENTROPY_TOKENS) & (out["token_entropy"] < limit[:, 6])
-    out["kept"] = ~(out["base_failed"] | odd)
+    odd |= out["token_entropy"] < limit[:, 6]
+    out["kept"] = ~(out["base_failed"] | (odd & (out["n_tokens"] >= JUDGED)))
     return out
 
 
@@ -264,32 +263,15 @@ def _measured(df: DataFrame, text: str, keys: tuple[str, ...], paths: tuple[str,
     return narrow.mapInArrow(run, schema)
 
 
-def calibrated(df: DataFrame, text: str, paths: tuple[str, str]) -> np.ndarray:
-    """Bands by script, from the quantiles of a sample of at most SAMPLE texts."""
-    wide = np.array(list(BANDS.values()))
-    texts = df.select(F.col(text).alias("__text")).filter("__text is not null").withColumn("h", F.xxhash64("__text"))
-    # Texts stay where they are but for those chosen: the SAMPLE smallest hashes, each text once.
-    last = texts.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    chosen = texts.filter(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("__text").alias("__text")).select("__text")
-    got = _measured(stored(chosen), "__text", (), paths, wide).filter("not base_failed")
-    measures = ("chars_per_token", "chars_per_token_multi", "byte_share", "byte_share_multi", "token_entropy")
-    of = lambda c: F.percentile(F.when(F.col("n_tokens") >= ENTROPY_TOKENS, F.col(c)) if c == "token_entropy" else F.col(c), F.array(F.lit(QUANTILE), F.lit(0.5), F.lit(1 - QUANTILE))).alias(c)
-    for r in got.groupBy("script").agg(F.count("*").alias("n"), *map(of, measures)).filter(F.col("n") >= ENOUGH).collect():  # a row for each script
-        low, high = ({c: r[c][1] + REACH * (r[c][i] - r[c][1]) for c in measures if r[c]} for i in (0, 2))
-        wide[r["script"], :6] = low["chars_per_token"], high["chars_per_token"], low["chars_per_token_multi"], high["chars_per_token_multi"], max(high.get("byte_share", 0), LEAST_BYTES), max(high.get("byte_share_multi", 0), LEAST_BYTES)
-        wide[r["script"], 6] = low.get("token_entropy", wide[r["script"], 6])
-    return wide
-
-
 def quality_rules(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), vocabularies: tuple[str, str] | None = None) -> DataFrame:
     """Counts, vocabulary fit and verdict of every whole text, one row each.
 
     A null or empty text has no words and fails the base rules.  Repeated rows are
     measured each; a null key is kept; other columns are ignored, whatever their names;
-    an empty table gives no rows.  Bands follow the texts of ``df`` (see ``calibrated``).
+    an empty table gives no rows.
     """
     paths = vocabularies or default_vocabularies()
-    return _measured(df, text, keys, paths, calibrated(df, text, paths))
+    return _measured(df, text, keys, paths, np.array(list(BANDS.values())))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

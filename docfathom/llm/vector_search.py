@@ -59,8 +59,8 @@ def nearest(rows: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def scan(query: np.ndarray, own: int, rotated_query: np.ndarray, columns: list[np.ndarray], vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The query's k best of a list's vectors: ids and distances, best first.
+def scan(query: np.ndarray, own: int, rotated_query: np.ndarray, columns: list[np.ndarray], vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of a list's vectors for the query that is row ``own``: ids and distances, best first.
 
     ``columns``: the rotated vectors by blocks of columns; ``vectors``: as they were.  A candidate is abandoned if
     its partial distance over m of d columns exceeds ``best * sqrt(m / d) * (1 + STRICTNESS / sqrt(m))``.
@@ -69,7 +69,7 @@ def scan(query: np.ndarray, own: int, rotated_query: np.ndarray, columns: list[n
     best_ids, best = np.zeros(0, np.int64), np.zeros(0)
     for lo in range(0, len(ids), STEP):
         left = np.arange(lo, min(lo + STEP, len(ids)))
-        left = left[ids[left] != own]
+        left = left[rows[left] != own]
         limit = best[k - 1] if len(best) >= k else np.inf
         partial, seen = np.zeros(len(left)), 0
         for block in columns:
@@ -97,8 +97,8 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
 
     Columns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (Euclidean distance), ties to the smaller key.
     Vectors that are null, zero or of another length than most, and such with null or non-finite components, take no
-    part; nor do rows with a null key.  Rows under one key count each, but not for a query of that key.  Repeated vectors
-    are found like others.  Fewer than k candidates give as many rows; an empty table none.  Other columns are ignored.
+    part; nor do rows with a null key.  Rows under one key count each: each one that asks has its own k nearest, another row of
+    its key among them if it is near.  Repeated vectors are found like others.  Fewer than k candidates give as many rows; an empty table none.  Other columns are ignored.
     """
     spark = df.sparkSession
     out_schema = "query_id long, rank int, vec_id long, score double"
@@ -126,9 +126,9 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
             if batch.num_rows:
                 m = matrix(batch)
                 raw = m.astype(kind)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(nearest(m, centroids, 1)[:, 0].astype(np.int32)), pa.array([r.tobytes() for r in raw], pa.binary())], names=["id", "list", "raw"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(nearest(m, centroids, 1)[:, 0].astype(np.int32)), pa.array([r.tobytes() for r in raw], pa.binary())], names=["id", "row", "list", "raw"])
 
-    listed = stored(rows.mapInArrow(assign, "id long, list int, raw binary"))
+    listed = stored(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(assign, "id long, row long, list int, raw binary"))
     counts = np.zeros(lists, np.int64)
     for r in listed.groupBy("list").count().collect():  # at most MAX_LISTS rows
         counts[r["list"]] = r["count"]
@@ -144,9 +144,9 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
                 need = np.maximum(probes, (held < 2 * k + 1).sum(axis=1) + 1).clip(max=lists)
                 row = np.repeat(np.arange(len(raw)), need)
                 at = near[row, ragged(need)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(at.astype(np.int32)), batch.column("raw").take(pa.array(row))], names=["id", "list", "raw"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), batch.column("row").take(pa.array(row)), pa.array(at.astype(np.int32)), batch.column("raw").take(pa.array(row))], names=["id", "row", "list", "raw"])
 
-    asked = stored(listed.filter(F.col("id") % every == 0).mapInArrow(probe, "id long, list int, raw binary"))
+    asked = stored(listed.filter(F.col("id") % every == 0).mapInArrow(probe, "id long, row long, list int, raw binary"))
     queries = np.zeros(lists, np.int64)
     for r in asked.groupBy("list").count().collect():
         queries[r["list"]] = r["count"]
@@ -157,17 +157,17 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = batch.column("list").to_numpy()
-                ids = batch.column("id").to_numpy()
-                mine = (ids * np.int64(-7046029254386353131) >> np.int64(33)) % own[at]
+                ids, rows = batch.column("id").to_numpy(), batch.column("row").to_numpy()
+                mine = (rows * np.int64(-7046029254386353131) >> np.int64(33)) % own[at]
                 n = other[at]
                 row, theirs = np.repeat(np.arange(len(at)), n), ragged(n)
                 cell = mine[row] * stride[at][row] + theirs if which == 0 else theirs * stride[at][row] + mine[row]
-                yield pa.RecordBatch.from_arrays([pa.array(at[row]), pa.array(cell), pa.array(np.full(len(row), which, np.int32)), pa.array(ids[row]), batch.column("raw").take(pa.array(row))], names=["list", "cell", "kind", "id", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array(at[row]), pa.array(cell), pa.array(np.full(len(row), which, np.int32)), pa.array(ids[row]), pa.array(rows[row]), batch.column("raw").take(pa.array(row))], names=["list", "cell", "kind", "id", "row", "raw"])
 
         return run
 
-    met = "list int, cell long, kind int, id long, raw binary"
-    both = listed.join(F.broadcast(spark.createDataFrame([(int(i),) for i in np.flatnonzero(queries)] or [(-1,)], "list int")), "list", "left_semi").select("id", "list", "raw").mapInArrow(cells(0, vector_cells, query_cells, query_cells), met)
+    met = "list int, cell long, kind int, id long, row long, raw binary"
+    both = listed.join(F.broadcast(spark.createDataFrame([(int(i),) for i in np.flatnonzero(queries)] or [(-1,)], "list int")), "list", "left_semi").select("id", "row", "list", "raw").mapInArrow(cells(0, vector_cells, query_cells, query_cells), met)
     both = both.unionByName(asked.mapInArrow(cells(1, query_cells, vector_cells, query_cells), met)).repartition("list", "cell")
     turn = rotation(dim)
 
@@ -176,27 +176,27 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
         if not got:
             return
         table = pa.Table.from_batches(got).combine_chunks()
-        where, cell, which, ids = (table.column(c).to_numpy() for c in ("list", "cell", "kind", "id"))
+        where, cell, which, ids, row = (table.column(c).to_numpy() for c in ("list", "cell", "kind", "id", "row"))
         raw = table.column("raw").to_pylist()
-        order = np.lexsort((ids, which, cell, where))
+        order = np.lexsort((row, ids, which, cell, where))
         cut = np.flatnonzero((where[order][1:] != where[order][:-1]) | (cell[order][1:] != cell[order][:-1])) + 1
         for rows in np.split(order, cut):
             n = int((which[rows] == 0).sum())
             if n in (0, len(rows)):
                 continue
             m = np.stack([np.frombuffer(raw[r], kind) for r in rows.tolist()]).astype(float)
-            vectors, own_ids = m[:n], ids[rows[:n]]
+            vectors, own_ids, own_rows = m[:n], ids[rows[:n]], row[rows[:n]]
             rotated = m @ turn
             columns = [np.ascontiguousarray(rotated[:n, a : a + COLUMNS].T) for a in range(0, dim, COLUMNS)]
-            out: list[list[np.ndarray]] = [[], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], []]
             for q in range(n, len(rows)):
-                found, score = scan(m[q], int(ids[rows[q]]), rotated[q], columns, vectors, own_ids, k)
-                for x, y in zip(out, (np.full(len(found), ids[rows[q]]), found, score), strict=True):
+                found, score = scan(m[q], int(row[rows[q]]), rotated[q], columns, vectors, own_ids, own_rows, k)
+                for x, y in zip(out, (np.full(len(found), ids[rows[q]]), np.full(len(found), row[rows[q]]), found, score), strict=True):
                     x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "query_row", "vec_id", "score"])
 
-    found = both.mapInArrow(scan_cells, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    found = both.mapInArrow(scan_cells, "query_id long, query_row long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

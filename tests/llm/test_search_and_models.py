@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import math
 import random
 import re
@@ -39,6 +40,25 @@ def test_search_recall_ties_and_bad_vectors(spark):
     assert [x[1] for x in by[200]] == list(range(201, 211))
 
 
+def test_each_row_that_asks_has_one_list(spark):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((300, 8)).astype(np.float32).astype(float)
+    rows = [(i, v[i].tolist()) for i in range(300)] + [(100, v[100].tolist()), (200, v[7].tolist()), (150, v[150].tolist()), (200, v[200].tolist())]
+    got = vector_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()
+    lists: dict = {}
+    for r in got:
+        lists.setdefault((r["query_id"], r["rank"]), []).append((r["vec_id"], r["score"]))
+    m, ids, want = np.array([x for _, x in rows]), np.array([i for i, _ in rows]), {}
+    for q in np.flatnonzero(ids % 100 == 0).tolist():
+        d = np.sqrt(((m - m[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        for rank, c in enumerate(np.lexsort((ids, d))[:10].tolist(), 1):
+            want.setdefault((rows[q][0], rank), []).append((rows[c][0], d[c]))
+    assert {k: len(x) for k, x in lists.items()} == {k: len(x) for k, x in want.items()}
+    near = sum(len(set(x) & set(lists[k])) for k, x in want.items()) / sum(len(set(x)) for x in want.values())
+    assert near >= 0.9 and [sorted(x) for x in (lists[100, 1], lists[200, 1])] == [sorted(x) for x in (want[100, 1], want[200, 1])]
+
+
 def test_search_of_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (5, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in vector_search.search(few).collect()] == [(0, 1, 5)]
@@ -187,11 +207,29 @@ def test_fertility_rejects_what_the_vocabulary_does_not_fit(spark):
     assert got[2]["kept"] and not got[1]["kept"] and got[1]["byte_share"] > 0.5
 
 
+def _junk(kind: str, rng: random.Random) -> str:
+    signs = {"consonants": "bcdfghjklmnpqrstvwxz", "symbols": "#*$%&|<>!@^~+=-_/:;,.?()[]{}", "numbers": "0123456789", "hexadecimal": "0123456789abcdef", "extended": "".join(map(chr, range(0xC0, 0x250)))}
+    draw = lambda: base64.b64encode(rng.randbytes(rng.randint(4, 12))).decode() if kind == "base64" else "".join(rng.choice(signs[kind]) for _ in range(rng.randint(4, 12)))
+    return " ".join(draw() for _ in range(80))
+
+
+@pytest.mark.parametrize("copies", [2, 30])
+def test_junk_is_rejected_however_much_there_is(spark, copies):
+    """0.2 and 3 per cent of each kind of junk in 1,000 documents."""
+    rng, kinds = random.Random(copies), ["base64", "consonants", "symbols", "numbers", "hexadecimal", "extended"]
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    junk = [(10**6 + i, _junk(kinds[i % 6], rng)) for i in range(6 * copies)]
+    got = quality_rules.quality_rules(docs.select("doc_id", "text").union(spark.createDataFrame(junk, "doc_id long, text string"))).filter("not base_failed")
+    kept = {r["doc_id"]: r["kept"] for r in got.collect()}
+    clean = [r["doc_id"] for r in labels.filter("quality = 1").collect() if r["doc_id"] in kept]
+    assert sum(kept.get(i, False) for i, _ in junk) <= 0.05 * len(junk)
+    assert sum(not kept[i] for i in clean) < 0.01 * len(clean) and len(clean) > 200
+
+
 def test_fertility_equals_brute_force(spark):
     import public_tokenizers
-    import tiktoken
-    import base64
     import sentencepiece
+    import tiktoken
 
     texts = ["the quick brown fox jumps over it", "Größe naïve 日本語 テキスト 😀", "привет мир как дела", "", "한국어 문장 입니다", "x" * 50]
     one = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
