@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -35,6 +36,13 @@ def fingerprint(p: Provider) -> str:
     return "sha256:" + hashlib.sha256(json.dumps(facts, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
+@functools.lru_cache(maxsize=1 << 19)
+def _place(feature: str) -> tuple[int, int]:
+    """A feature's number and sign, from its digest; kept by the worker, as features come again and again."""
+    d = hashlib.sha256(feature.encode()).digest()
+    return int.from_bytes(d[:4], "big"), 1 if d[4] % 2 == 0 else -1
+
+
 class LocalProvider:
     """Signed feature hashing of terms, character triples and concept groups (a parameter), scaled to length 1."""
 
@@ -63,8 +71,8 @@ class LocalProvider:
         for text in texts:
             v = np.zeros(self.dimensions)
             for feature, weight in self.features(text).items():
-                d = hashlib.sha256(feature.encode()).digest()
-                v[int.from_bytes(d[:4], "big") % self.dimensions] += weight if d[4] % 2 == 0 else -weight
+                place, sign = _place(feature)
+                v[place % self.dimensions] += sign * weight
             norm = float(np.sqrt((v * v).sum()))
             out.append([0.0] * self.dimensions if norm == 0 else [round(float(x), 8) for x in v / norm])
         return out

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from docfathom.functions import text as X
 
+from .patterns import occurrences, separate
+
 #: Gates and limits (fixed values).
 SITE, PAGE, COMPOUND, TARGET, TOPIC, VECTOR = 0.30, 0.35, 0.30, 0.45, 0.50, 0.30
 MAX_CHUNKS, MAX_CHARACTERS, MAX_TOKENS, PER_POST = 8, 12000, 6000, 3
@@ -71,25 +73,20 @@ def packed(candidates: DataFrame, most: int = MAX_CHUNKS, characters: int = MAX_
     return lists.select("query_id", F.posexplode(F.aggregate("items", empty, fold)).alias("place", "one")).select("query_id", "place", F.col("one.id").alias("id"), F.col("one.n").alias("characters"))
 
 
-def mentions(rows: DataFrame, titles: DataFrame, column: str) -> DataFrame:
-    """Titles that a normalized text contains, with the first place; the titles are broadcast (checked)."""
-    if titles.count() > 100_000:
-        raise ValueError("too many titles for one broadcast; pass them in parts")
-    return rows.join(F.broadcast(titles), F.col(column).contains(F.col("title"))).withColumn("at", (F.instr(F.col(column), F.col("title")) - 1).cast("long"))
+def mentions(rows: DataFrame, titles: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """Titles that a normalized text contains, with the first place: ``keys``, title, at."""
+    return occurrences(rows, column, keys, titles, "title", first=True).withColumnRenamed("start", "at")
 
 
 def separate_mentions(rows: DataFrame, titles: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """All occurrences, longest first, none overlapping one already taken; in order of place."""
-    found = mentions(rows, titles, column)
-    # Every place of the title: lengths of the pieces between its occurrences.
-    pieces = F.split(F.col(column), F.concat(F.lit(r"\Q"), F.col("title"), F.lit(r"\E")), -1)
-    places = F.transform(F.slice(F.sequence(F.lit(1), F.size(pieces)), 1, F.size(pieces) - 1), lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda s, p: s + F.length(p)) + (i - 1) * F.length("title"))
-    every = found.select(*keys, "title", F.explode(places).alias("start"))
-    item = F.struct((-F.length("title")).alias("a"), F.col("start").alias("start"), F.col("title").alias("title"), (F.col("start") + F.length("title")).alias("end"))
-    lists = every.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    empty = F.array().cast("array<struct<start:int,end:int,title:string>>")
-    taken = F.aggregate("items", empty, lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), acc).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["title"].alias("title"))))))
-    return lists.select(*keys, F.posexplode(F.array_sort(taken)).alias("place", "one")).select(*keys, "place", F.col("one.title").alias("title"), F.col("one.start").alias("start"))
+    """Occurrences of titles, longest first, none overlapping one already taken; in order of place."""
+    return separate(rows, column, keys, titles, "title")
+
+
+def mentioned_titles(rows: DataFrame, titles: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """Each title once, by its first separate mention: ``keys``, nth (from 0), title."""
+    first = separate_mentions(rows, titles, column, keys).groupBy(*keys, "title").agg(F.min("place").alias("place"))
+    return first.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("place")) - 1).select(*keys, "nth", "title")
 
 
 def best_sentences(rows: DataFrame, key: str, column: str, words: list[str]) -> DataFrame:

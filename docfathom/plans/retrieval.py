@@ -10,6 +10,7 @@ from docfathom.functions import text as X
 from docfathom.functions.vectors import dot
 from docfathom.operators import evidence, metrics
 from docfathom.operators import retrieval as R
+from docfathom.operators.patterns import without
 
 from .base import ASKED, BM25, DOCS, ORIGIN, TERM, chunks, query, questions, table
 
@@ -257,14 +258,44 @@ def compare_matrix(spark: SparkSession, sf: str) -> DataFrame:
 SELECT conv_id, turn, title, strpos(t,title)-1 AS at FROM c JOIN (SELECT DISTINCT title FROM t WHERE length(title)>=2) ON contains(t,title)""")
 def title_mentions(spark: SparkSession, sf: str) -> DataFrame:
     titles = table(spark, sf, "benchmark").select(F.element_at(F.split(X.normalized(F.col("text")), " "), 1).alias("title")).filter(F.length("title") >= 2).distinct()
-    return evidence.mentions(table(spark, sf, "conversations").withColumn("t", X.normalized(F.col("text"))), titles, "t").select("conv_id", "turn", "title", "at")
+    return evidence.mentions(table(spark, sf, "conversations").withColumn("t", X.normalized(F.col("text"))), titles, "t", ["conv_id", "turn"])
 
 
-@query()
+#: Places of each title in turn (a search goes on behind each hit), then the longest first by a recursive choice.
+_SEPARATE = r"""WITH RECURSIVE t AS (SELECT DISTINCT string_split(trim(regexp_replace(lower(text),'\s+',' ','g')),' ')[1] AS title FROM benchmark), n AS (SELECT title FROM t WHERE length(title)>=2),
+c AS (SELECT conv_id, turn, trim(regexp_replace(lower(text),'\s+',' ','g')) AS t FROM conversations),
+o AS (SELECT conv_id, turn, title, list_sum(list_transform(parts[1:i], lambda p: length(p)))+(i-1)*length(title) AS start FROM (SELECT conv_id, turn, title, string_split(t,title) AS parts, unnest(range(1,len(string_split(t,title)))) AS i FROM c JOIN n ON contains(t,title))),
+l AS (SELECT conv_id, turn, title, start::BIGINT AS start, (start+length(title))::BIGINT AS stop, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(title) DESC, start) AS k FROM o),
+r AS (SELECT conv_id, turn, 0::BIGINT AS k, []::STRUCT(a BIGINT, b BIGINT, title VARCHAR)[] AS taken FROM (SELECT DISTINCT conv_id, turn FROM l)
+ UNION ALL SELECT r.conv_id, r.turn, l.k, CASE WHEN len(list_filter(taken, lambda x: x.a<l.stop AND l.start<x.b))>0 THEN taken ELSE list_append(taken, {'a': l.start, 'b': l.stop, 'title': l.title}) END FROM r JOIN l ON l.conv_id=r.conv_id AND l.turn=r.turn AND l.k=r.k+1),
+z AS (SELECT conv_id, turn, unnest(taken) AS one FROM r QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY k DESC)=1),
+s AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY one.a)-1 AS place, one.title AS title, one.a AS start FROM z) """
+
+
+@query(_SEPARATE + "SELECT conv_id, turn, place, title, start FROM s")
 def title_mentions_nonoverlap(spark: SparkSession, sf: str) -> DataFrame:
     titles = table(spark, sf, "benchmark").select(F.element_at(F.split(X.normalized(F.col("text")), " "), 1).alias("title")).filter(F.length("title") >= 2).distinct()
     turns = table(spark, sf, "conversations").withColumn("t", X.normalized(F.col("text")))
-    return evidence.separate_mentions(turns, titles, "t", ["conv_id", "turn"])
+    return evidence.separate_mentions(turns, titles, "t", ["conv_id", "turn"]).withColumn("place", F.col("place").cast("long"))
+
+
+@query(_SEPARATE + "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY min(place))-1 AS nth, title FROM s GROUP BY conv_id, turn, title")
+def comparison_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """The titles that a turn names, each once, in order of their first separate mention."""
+    titles = table(spark, sf, "benchmark").select(F.element_at(F.split(X.normalized(F.col("text")), " "), 1).alias("title")).filter(F.length("title") >= 2).distinct()
+    turns = table(spark, sf, "conversations").withColumn("t", X.normalized(F.col("text")))
+    return evidence.mentioned_titles(turns, titles, "t", ["conv_id", "turn"]).withColumn("nth", F.col("nth").cast("long"))
+
+
+@query(r"""WITH RECURSIVE k AS (SELECT conv_id, turn, trim(regexp_replace(lower(text),'\s+',' ','g')) AS t FROM conversations), n AS (SELECT DISTINCT conv_id, string_split(t,' ')[1] AS title FROM k WHERE length(string_split(t,' ')[1])>=2),
+o AS (SELECT conv_id, list(title ORDER BY length(title) DESC, title) AS own FROM n GROUP BY 1),
+r AS (SELECT conv_id, turn, 0 AS i, t AS rest FROM k UNION ALL SELECT r.conv_id, turn, i+1, replace(rest, own[i+1], ' ') FROM r JOIN o USING(conv_id) WHERE i<len(own))
+SELECT conv_id, turn, trim(regexp_replace(rest,'\s+',' ','g')) AS rest FROM r QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY i DESC)=1""")
+def titles_removed(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns without the titles known to their conversation (the first words of its turns), long ones first."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", X.normalized(F.col("text")).alias("t"))
+    known = turns.select("conv_id", F.element_at(F.split("t", " "), 1).alias("title")).filter(F.length("title") >= 2)
+    return without(turns, "t", ["conv_id"], known, "title").select("conv_id", "turn", "rest")
 
 
 _RANKS = _DENSE.format("-2") + ", k AS (SELECT query_id, q.label, rank FROM r JOIN (SELECT vec_id, label FROM embeddings) q ON q.vec_id=query_id WHERE r.label=q.label AND r.position<>query_id), n AS (SELECT a.vec_id AS query_id, a.label, count(*) AS relevant FROM embeddings a JOIN embeddings b ON a.label=b.label AND a.vec_id<>b.vec_id WHERE a.vec_id<20 GROUP BY 1,2), m AS (SELECT n.query_id, n.label, relevant, count(*) FILTER (WHERE rank<=5)/relevant AS r5, count(*) FILTER (WHERE rank<=20)/relevant AS r20, coalesce(1.0/min(rank) FILTER (WHERE rank<=20),0) AS rr, coalesce(sum(1/log2(rank+1)) FILTER (WHERE rank<=20),0)/list_sum(list_transform(range(1,least(relevant,20)+1), lambda i: 1/log2(i+1))) AS nd FROM n LEFT JOIN k USING(query_id) GROUP BY n.query_id, n.label, relevant) "
