@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfathom.functions import text as X
+from docfathom.operators.index import CACHE, Index
 
 ORIGIN = "https://example.org"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +39,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
+def shared_place(spark: SparkSession, kind: str) -> str:
+    """A new folder's name in the folder that driver and executors share, or in one of our own in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{shared or tempfile.mkdtemp(prefix=f'docfathom-{kind}-')}/{kind}-{uuid.uuid4().hex}"
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks: the first sentence is the title, the language a tag, the source a category."""
     first = F.trim(F.regexp_extract("text", r"^[^.\n]*", 0))
@@ -46,6 +57,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The inverted index of ``chunks``; it is made once for the same files."""
+    return CACHE.of(chunks(spark, sf_dir), table(spark, sf_dir, "documents"), shared_place(spark, "index"), ORIGIN)
+
+
 def questions(spark: SparkSession, sf_dir: str, words: int = 6) -> DataFrame:
     """The first words of each benchmark item as a question."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(X.normalized(F.col("text")), " "), 1, words), " ").alias("question"))

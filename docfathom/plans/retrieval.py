@@ -12,7 +12,7 @@ from docfathom.operators import evidence, metrics
 from docfathom.operators import retrieval as R
 from docfathom.operators.patterns import without
 
-from .base import ASKED, BM25, DOCS, ORIGIN, TERM, chunks, query, questions, table
+from .base import ASKED, BM25, DOCS, ORIGIN, TERM, chunks, query, questions, stored_index, table
 
 WITH = f"WITH {DOCS}, {ASKED}, {BM25} "
 
@@ -71,6 +71,18 @@ def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(R.ranked(R.bm25(chunks(spark, sf), questions(spark, sf), ORIGIN)))
 
 
+@query(WITH + "SELECT query_id, id, rank, round(score,6) AS score FROM r WHERE rank<=20")
+def bm25_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from the stored index."""
+    return _shown(stored_index(spark, sf).search(questions(spark, sf)))
+
+
+@query(rf"WITH {DOCS} SELECT term, count(*) AS df, max(tf) AS top_tf FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(body,'{TERM}')) AS term FROM d) GROUP BY 1,2) GROUP BY 1")
+def index_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Each term's chunks and largest frequency, from the stored index's rows without their postings."""
+    return stored_index(spark, sf).postings().groupBy("term").agg(F.sum("n").alias("df"), F.max("top_tf").alias("top_tf"))
+
+
 @query(f"WITH d AS (SELECT * FROM ({DOCS[5:].strip().removeprefix('(').removesuffix(')')}) WHERE lang='en' AND source IN ('src1','src2','src3')), {ASKED}, {BM25} SELECT query_id, id, rank, round(score,6) AS score FROM r WHERE rank<=20")
 def bm25_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
     """Tags and categories filter before any statistic."""

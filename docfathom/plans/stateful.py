@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfathom.operators import conversation as C
 from docfathom.streaming import state as S
 
-from .base import ORACLES, query, table
+from .base import ORACLES, query, shared_place, table
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,12 +82,8 @@ def session_window_2h(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A place for a stream's result: the folder that driver and executors share, or one of our own in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    shared = shared or tempfile.mkdtemp(prefix="docfathom-stream-")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    """A place for a stream's result."""
+    return shared_place(spark, "stream")
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
