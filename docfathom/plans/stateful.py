@@ -105,7 +105,8 @@ def stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(S.run_available(out, _folder(spark)).withColumn("level", F.round("level", 6)))
 
 
-@query()
+@query("""WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts)-epoch_us(lag(ts) OVER w)>=7200000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT user_id, ts, event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id)=1 THEN new ELSE 0 END AS new FROM g))
+SELECT user_id, min(ts) AS begins, max(ts)+INTERVAL 2 HOUR AS ends, count(*) AS events FROM s GROUP BY user_id, session HAVING max(ts)+INTERVAL 2 HOUR<=(SELECT max(ts)-INTERVAL 1 HOUR FROM events)""")
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(S.run_available(S.session_windows(_stream(spark, sf, "events").select("ts", "user_id"), "ts", "user_id"), _folder(spark)))
 
