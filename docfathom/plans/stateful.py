@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfathom.operators import conversation as C
+from docfathom.streaming import memory as M
 from docfathom.streaming import state as S
 
 from .base import ORACLES, query, shared_place, table
@@ -111,11 +112,37 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(S.run_available(S.session_windows(_stream(spark, sf, "events").select("ts", "user_id"), "ts", "user_id"), _folder(spark)))
 
 
-@query()
+#: The fold of ``stream_memory``, one row of each key a step: state, what still lives at the row's time, outcome, new state.
+_MEMORY = """WITH RECURSIVE u AS (SELECT user_id::VARCHAR AS key, event_id AS place, epoch_us(ts) AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+ CASE WHEN event_id%16=15 THEN 'delete' WHEN event_id%16=7 THEN 'new_thread' ELSE ['append','append','begin','complete','read','append','begin','complete'][1+event_id%8] END AS action,
+ CASE WHEN event_id%8<>0 THEN 'r'||(floor(value)::BIGINT%3) END AS request, props AS message, event_type AS topic, CASE WHEN event_id%5=0 THEN event_id%4 END AS expected, repeat(props, floor(value)::BIGINT) AS response FROM events),
+f AS (SELECT DISTINCT key, 0::BIGINT AS n, NULL::BIGINT AS place, '' AS outcome, 0::BIGINT AS version, 0::BIGINT AS expires, []::VARCHAR[] AS messages, []::VARCHAR[] AS topics, '' AS summary, []::STRUCT(id VARCHAR, status VARCHAR, response VARCHAR, expires BIGINT)[] AS requests, NULL::VARCHAR AS answer FROM u
+UNION ALL SELECT key, n, place, o, CASE WHEN o='deleted' THEN 0 WHEN o='applied' THEN v+1 ELSE v END, CASE WHEN o IN ('applied','found') THEN now+172800000000 ELSE expires END,
+ CASE WHEN o='deleted' OR (o='applied' AND action='new_thread') THEN [] WHEN o='applied' THEN list_append(ms, message)[-4:] ELSE ms END,
+ CASE WHEN o='deleted' THEN [] WHEN o='applied' AND action='append' THEN list_append(list_filter(tp, lambda x: x<>topic), topic)[-3:] ELSE tp END,
+ CASE WHEN o='deleted' THEN '' WHEN o='applied' AND action='new_thread' THEN right(array_to_string(list_filter(list_concat([sm], ms), lambda x: x<>''), ' '), 2000) ELSE sm END,
+ CASE WHEN action='delete' THEN [] WHEN o='started' THEN list_append(others, {'id': request, 'status': 'processing', 'response': NULL::VARCHAR, 'expires': now+86400000000})
+ WHEN request IS NOT NULL AND o IN ('finished','finished_without_replay','applied') THEN list_append(others, {'id': request, 'status': 'completed', 'response': CASE WHEN strlen(response)<=1024 THEN response END, 'expires': now+86400000000}) ELSE live END,
+ CASE WHEN o IN ('completed','replayed') THEN held.response END
+FROM (SELECT *, CASE action WHEN 'delete' THEN CASE WHEN v>0 THEN 'deleted' ELSE 'missing' END WHEN 'read' THEN CASE WHEN v>0 THEN 'found' ELSE 'missing' END
+ WHEN 'begin' THEN CASE WHEN v=0 OR request IS NULL THEN 'missing' WHEN held IS NOT NULL THEN held.status ELSE 'started' END
+ WHEN 'complete' THEN CASE WHEN held IS NULL THEN 'missing' WHEN held.status='completed' THEN 'completed' WHEN strlen(response)>1024 THEN 'finished_without_replay' ELSE 'finished' END
+ ELSE CASE WHEN held.status='completed' THEN 'replayed' WHEN action='new_thread' AND v=0 THEN 'missing' WHEN expected IS NOT NULL AND expected<>v THEN 'conflict' ELSE 'applied' END END AS o
+FROM (SELECT *, list_filter(live, lambda x: x.id=request)[1] AS held, CASE WHEN request IS NULL THEN live ELSE list_filter(live, lambda x: x.id<>request) END AS others
+FROM (SELECT u.*, f.expires, CASE WHEN f.expires>now THEN version ELSE 0 END AS v, CASE WHEN f.expires>now THEN f.messages ELSE [] END AS ms, CASE WHEN f.expires>now THEN f.topics ELSE [] END AS tp, CASE WHEN f.expires>now THEN f.summary ELSE '' END AS sm,
+ list_filter(f.requests, lambda x: x.expires>now) AS live FROM f JOIN u ON u.key=f.key AND u.n=f.n+1))))
+SELECT key, place, outcome, version, len(messages)::BIGINT AS messages, array_to_string(topics,',') AS topics, summary, md5(answer) AS response FROM f WHERE n>0"""
+
+
+@query(_MEMORY)
 def stream_memory(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as memory updates: the event's kind is a topic, every fifth request comes again."""
+    """Events as updates of a memory whose records live two days: kinds are topics, requests come again, responses grow with the value."""
+    kinds = F.array(*map(F.lit, ("append", "append", "begin", "complete", "read", "append", "begin", "complete")))
+    i = F.col("event_id")
     updates = _stream(spark, sf, "events").select(
-        F.col("user_id").cast("string").alias("key"), F.col("ts").alias("at"), F.lit("append").alias("action"), (F.col("event_id") - F.when(F.col("event_id") % 5 == 4, 1).otherwise(0)).cast("string").alias("request_id"),
-        F.col("props").alias("message"), F.col("event_type").alias("topic"), F.lit(None).cast("long").alias("expected"),
+        F.col("user_id").cast("string").alias("key"), F.col("ts").alias("at"), i.alias("place"), F.when(i % 16 == 15, "delete").when(i % 16 == 7, "new_thread").otherwise(F.get(kinds, (i % 8).cast("int"))).alias("action"),
+        F.when(i % 8 != 0, F.concat(F.lit("r"), F.floor("value") % 3)).alias("request_id"), F.col("props").alias("message"), F.col("event_type").alias("topic"),
+        F.when(i % 5 == 0, i % 4).alias("expected"), F.expr("repeat(props, cast(floor(value) as int))").alias("response"),
     )
-    return S.run_available(S.memory(updates), _folder(spark))
+    folder = _folder(spark)
+    return M.run(M.memory(updates, M.Limits(memory_hours=48, messages=4, topics=3, replay_bytes=1024)), folder).withColumn("response", F.md5(F.col("response").cast("binary")))

@@ -1,8 +1,7 @@
-"""Stateful streams: idempotent requests, alert windows, keyed memory with expiry."""
+"""Stateful streams: idempotent requests, alert and session windows."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docfathom.operators.conversation import KEPT_MESSAGES, KEPT_TOPICS, MEMORY_DAYS, REQUEST_HOURS
+from docfathom.operators.conversation import REQUEST_HOURS
 
 
 def idempotent(requests: DataFrame, at: str, request: str, *keys: str) -> DataFrame:
@@ -50,68 +49,6 @@ def session_windows(events: DataFrame, at: str, key: str, pause: str = "2 hours"
     return by.select(key, F.col("w.start").alias("begins"), F.col("w.end").alias("ends"), "events")
 
 
-EMPTY = {"version": 0, "messages": [], "topics": [], "summary": "", "requests": {}}
-
-
-def apply_update(record: dict, update: dict) -> tuple[dict, str]:
-    """One update of a memory record and what came of it.
-
-    ``update``: action (append, new_thread, delete), request_id, message, topic, expected (version or None).  A request
-    that was completed is replayed, not applied; an unexpected version is a conflict; topics move to the end when they come again.
-    """
-    request, action = update.get("request_id"), update.get("action") or "append"
-    if action == "delete":
-        return json.loads(json.dumps(EMPTY)), "deleted"
-    if request and request in record["requests"]:
-        return record, "replayed"
-    expected = update.get("expected")
-    if expected is not None and not pd.isna(expected) and int(expected) != record["version"]:
-        return record, "conflict"
-    new = json.loads(json.dumps(record))
-    if action == "new_thread":
-        told = " ".join(m for m in new["messages"] if m)
-        new["summary"] = (new["summary"] + " " + told).strip()[-2000:]
-        new["messages"] = []
-    else:
-        if update.get("message"):
-            new["messages"] = (new["messages"] + [update["message"]])[-KEPT_MESSAGES:]
-        topic = update.get("topic")
-        if topic:
-            new["topics"] = ([t for t in new["topics"] if t != topic] + [topic])[-KEPT_TOPICS:]
-    new["version"] += 1
-    if request:
-        new["requests"][request] = new["version"]
-        for old in sorted(new["requests"], key=new["requests"].get)[:-64]:
-            del new["requests"][old]
-    return new, "applied"
-
-
-MEMORY_OUT = "key string, version long, outcome string, messages long, topics string"
-
-
-def fold_memory(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State function: the key's record, updates in order of ``at``; a key that is quiet for MEMORY_DAYS is forgotten."""
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame({"key": [str(key[0])], "version": [0], "outcome": ["expired"], "messages": [0], "topics": [""]})
-        return
-    record = json.loads(state.get[0]) if state.exists else json.loads(json.dumps(EMPTY))
-    rows = pd.concat(list(parts)).sort_values(["at", "request_id"], kind="stable")
-    out = []
-    for update in rows.to_dict("records"):
-        record, outcome = apply_update(record, update)
-        out.append((str(key[0]), record["version"], outcome, len(record["messages"]), ",".join(record["topics"])))
-    state.update((json.dumps(record),))
-    until = int(rows["at"].max().timestamp() * 1000) + MEMORY_DAYS * 86_400_000
-    state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(out, columns=["key", "version", "outcome", "messages", "topics"])
-
-
-def memory(updates: DataFrame) -> DataFrame:
-    """A stream of updates (key, at, action, request_id, message, topic, expected) to the versions they lead to."""
-    return updates.withWatermark("at", "1 hour").groupBy("key").applyInPandasWithState(fold_memory, MEMORY_OUT, "record string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there into Parquet under ``folder``, and read the result."""
     q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start()

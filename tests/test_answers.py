@@ -12,7 +12,6 @@ from docfathom.operators import claims as C
 from docfathom.operators import tools as T
 from docfathom.operators.embedding import LocalProvider, RetryingProvider, ServiceError
 from docfathom.sources import connectors as K
-from docfathom.streaming.state import EMPTY, apply_update
 
 CHUNKS = [("c1", "T1", "alpha holds 3 parts and no more"), ("c2", "T2", "beta is a second thing")]
 CLAIM = "answer_id string, position int, source_id string, subquestion_id string, text string, quote string, citation_ids array<string>"
@@ -80,17 +79,6 @@ def test_tools(spark):
             T.validated(name, args)
 
 
-def test_memory_rules():
-    r, said = apply_update(EMPTY, {"request_id": "1", "message": "m", "topic": "t", "expected": 0})
-    assert said == "applied" and r["version"] == 1
-    assert apply_update(r, {"request_id": "1", "message": "m"})[1] == "replayed" and apply_update(r, {"request_id": "2", "expected": 0})[1] == "conflict"
-    for i in range(20):
-        r, _ = apply_update(r, {"request_id": f"q{i}", "message": f"m{i}", "topic": "t" if i == 19 else f"t{i}"})
-    assert len(r["messages"]) == 12 and r["topics"][-1] == "t" and r["topics"].count("t") == 1
-    r, _ = apply_update(r, {"action": "new_thread"})
-    assert not r["messages"] and r["summary"] and apply_update(r, {"action": "delete"})[0] == EMPTY
-
-
 def test_connectors_and_hashes(spark):
     assert K.verify_token(["new", "old"], K.issue_token("old", "me", 100), 50) == "me" and K.verify_token(["new"], K.issue_token("old", "me", 100), 50) is None and K.verify_token(["old"], K.issue_token("old", "me", 100), 100) is None
     with pytest.raises(ValueError):
