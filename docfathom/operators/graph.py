@@ -37,26 +37,55 @@ def reachable(edges: DataFrame, start: DataFrame, steps: int = MAX_STEPS) -> Dat
         SELECT node, min(steps) AS steps FROM walk GROUP BY node""")
 
 
-#: Edges of a configured graph at most.
-CONFIGURED_EDGES = 100_000
+def _directed(edges: DataFrame) -> DataFrame:
+    """Different edges (from, to); ``alternative`` ones don't order anything, and nulls are no nodes."""
+    kept = edges.filter("relation <> 'alternative'") if "relation" in edges.columns else edges
+    return kept.select("from", "to").filter("`from` is not null and `to` is not null").distinct()
 
 
-def has_cycle(edges: DataFrame) -> bool:
-    """Whether directed edges (from, to; ``alternative`` ones don't count) hold a cycle: sources are peeled off until none is left.
+def layers(edges: DataFrame, folder: str) -> DataFrame:
+    """Topological order: each node of the edges (from, to) with the most steps to it from any source, ``layer``.
 
-    For configured graphs; more than CONFIGURED_EDGES edges are an error.
+    Sources are peeled off by rounds: a node that no remaining edge points to has the round's layer, and its edges go.  What
+    stays when a round peels nothing is on a cycle or after one; its layer is null.  Nodes of one layer depend on none of
+    the same, so they can be worked on together.  Each round joins the edges left with their targets once, into a table
+    under ``folder``, and only a count of edges comes back.  Rounds are as many as the longest way has steps.
     """
-    left = edges.filter("relation <> 'alternative'") if "relation" in edges.columns else edges
-    pairs = {(r["from"], r["to"]) for r in left.select("from", "to").distinct().limit(CONFIGURED_EDGES + 1).collect()}
-    if len(pairs) > CONFIGURED_EDGES:
-        raise ValueError(f"more than {CONFIGURED_EDGES} edges")
-    while pairs:
-        targets = {b for _, b in pairs}
-        kept = {(a, b) for a, b in pairs if a in targets}
-        if len(kept) == len(pairs):
-            return True
-        pairs = kept
-    return False
+    spark, rounds = edges.sparkSession, 0
+    left = all_ = _stored(_directed(edges), f"{folder}/edges")
+    remain, before = left.count(), None
+    while remain and remain != before:
+        targets = left.select(F.col("to").alias("from"), F.lit(True).alias("held")).distinct()
+        marked = left.select("from", "to").join(targets, "from", "left").select("from", "to", F.coalesce("held", F.lit(False)).alias("held"), F.lit(rounds).alias("layer"))
+        left = _stored(marked, f"{folder}/round-{rounds}").filter("held")
+        remain, before, rounds = left.count(), remain, rounds + 1
+    nodes = all_.select(F.explode(F.array("from", "to")).alias("node")).distinct()
+    if not rounds:
+        return nodes.select("node", F.lit(None).cast("long").alias("layer"))
+    found = spark.read.schema(marked.schema).parquet(*(f"{folder}/round-{k}" for k in range(rounds))).filter("not held").select(F.col("from").alias("node"), "layer").distinct()
+    # nodes without edges onward come right after the last that points to them, unless one of those has no layer
+    into = all_.select("from", F.col("to").alias("node")).join(found.withColumnRenamed("node", "from"), "from", "left")
+    ends = into.groupBy("node").agg(F.when(F.count("*") == F.count("layer"), F.max("layer") + 1).alias("__after"))
+    return nodes.join(found, "node", "left").join(ends, "node", "left").select("node", F.coalesce("layer", "__after").cast("long").alias("layer"))
+
+
+def _stored(df: DataFrame, place: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def cyclic_core(edges: DataFrame, folder: str) -> DataFrame:
+    """Edges that lie on a cycle or between two: no source of the graph leads to their start, nor their end to a sink alone."""
+    both = _directed(edges)
+    ahead = layers(both, f"{folder}/ahead").filter("layer is null").select("node")
+    kept = both.join(ahead.withColumnRenamed("node", "from"), "from", "left_semi").join(ahead.withColumnRenamed("node", "to"), "to", "left_semi")
+    back = layers(kept.select(F.col("to").alias("from"), F.col("from").alias("to")), f"{folder}/back").filter("layer is null").select("node")
+    return kept.join(back.withColumnRenamed("node", "from"), "from", "left_semi").join(back.withColumnRenamed("node", "to"), "to", "left_semi").select("from", "to")
+
+
+def has_cycle(edges: DataFrame, folder: str) -> bool:
+    """Whether directed edges (from, to; ``alternative`` ones don't count) hold a cycle: some node has no layer."""
+    return not layers(edges, folder).filter("layer is null").isEmpty()
 
 
 def next_steps(steps: DataFrame, completed: list[str], k: int = 5) -> DataFrame:

@@ -11,7 +11,7 @@ from docfathom.operators import graph as G
 from docfathom.operators import integrity as I
 from docfathom.operators import metrics as M
 
-from .base import query, table
+from .base import query, shared_place, table
 
 
 def _now(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,6 +219,24 @@ def learning_path_next(spark: SparkSession, sf: str) -> DataFrame:
     return G.next_steps(tracks, done, 2).select("track", "node", F.col("n").cast("long").alias("n"))
 
 
+_ORDERED = """WITH RECURSIVE o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
+e AS (SELECT a.k AS a, b.k AS b FROM o a JOIN o b ON a.c=b.c AND (b.i=a.i+1 OR (b.i=a.i+3 AND a.p='1-URGENT') OR (a.i=5 AND b.i=2 AND a.c%20=0))),
+t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON e.a=t.b), y AS (SELECT a AS k FROM t WHERE a=b UNION SELECT t.b FROM t JOIN (SELECT a AS r FROM t WHERE a=b) ON t.a=r),
+w(k, n) AS (SELECT a, 0::BIGINT FROM e WHERE a NOT IN (SELECT b FROM e) UNION SELECT e.b, n+1 FROM w JOIN e ON e.a=w.k WHERE e.b NOT IN (SELECT k FROM y))
+SELECT k AS node, max(n) AS layer FROM (SELECT k, n FROM w UNION ALL SELECT k, NULL FROM y) GROUP BY 1"""
+
+
+@query(_ORDERED)
+def topological_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """A customer's orders as a track: each before the next, urgent ones also before the third after; some tracks run in a circle."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    key = F.col("o_orderkey")
+    back = F.lag(key, 3).over(w)  # of the fifth order: the second
+    to = F.array(F.lead(key).over(w), F.when(F.col("o_orderpriority") == "1-URGENT", F.lead(key, 3).over(w)), F.when((F.row_number().over(w) == 5) & (F.col("o_custkey") % 20 == 0), back))
+    edges = table(spark, sf, "orders").select(key.alias("from"), to.alias("to")).select("from", F.explode("to").alias("to"))
+    return G.layers(edges, shared_place(spark, "layers"))
+
+
 @query("SELECT 'corpus_'||substring(sha256(string_agg(name||':'||hash, chr(10) ORDER BY name)),1,24) AS version, count(*) AS files, sum(n)::BIGINT AS rows FROM (SELECT lang AS name, sha256(sum(('0x'||substring(sha256(text),1,12))::BIGINT)::VARCHAR) AS hash, count(*) AS n FROM documents GROUP BY 1)")
 def manifest_version(spark: SparkSession, sf: str) -> DataFrame:
     """The languages stand for files; a file's hash sums its rows' hashes, so that it is one partial aggregate."""
