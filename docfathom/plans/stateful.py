@@ -106,6 +106,23 @@ def stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(S.run_available(out, _folder(spark)).withColumn("level", F.round("level", 6)))
 
 
+@query("WITH m AS (SELECT max(ts)-INTERVAL 30 MINUTE AS w FROM events), b AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * s.range AS b, value FROM events, range(4) s) SELECT b AS begins, n, round(level,6) AS level FROM (SELECT b, count(*) AS n, avg(value) AS level FROM b GROUP BY 1), m WHERE level>40 AND b+INTERVAL 60 MINUTE<=w")
+def stream_alerts_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of an hour that begin every quarter of one."""
+    out = S.alert_windows(_stream(spark, sf, "events").select("ts", "value"), "ts", "value", 60, 40.0, slide=15)
+    return _plain(S.run_available(out, _folder(spark)).withColumn("level", F.round("level", 6)))
+
+
+@query("""WITH q AS (SELECT * FROM events WHERE event_type='click'), r AS (SELECT * FROM events WHERE event_type='view'), m AS (SELECT least((SELECT max(ts) FROM q), (SELECT max(ts) FROM r))-INTERVAL 1 HOUR AS w)
+SELECT q.user_id, q.event_id AS request_id, r.event_id AS receipt_id FROM q LEFT JOIN r ON r.user_id=q.user_id AND r.ts>=q.ts AND r.ts<=q.ts+INTERVAL 6 HOUR, m WHERE r.event_id IS NOT NULL OR q.ts+INTERVAL 6 HOUR<w""")
+def stream_receipts(spark: SparkSession, sf: str) -> DataFrame:
+    """Clicks with the views of the same user in the six hours after: two streams, rows without match once no view can come."""
+    events = _stream(spark, sf, "events")
+    asked = events.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("request_id"), F.col("ts").alias("asked_at"))
+    got = _stream(spark, sf, "events").filter("event_type = 'view'").select("user_id", F.col("event_id").alias("receipt_id"), F.col("ts").alias("got_at"))
+    return S.run_available(S.answered(asked, got, "user_id", "6 HOURS"), _folder(spark))
+
+
 @query("""WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts)-epoch_us(lag(ts) OVER w)>=7200000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT user_id, ts, event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id)=1 THEN new ELSE 0 END AS new FROM g))
 SELECT user_id, min(ts) AS begins, max(ts)+INTERVAL 2 HOUR AS ends, count(*) AS events FROM s GROUP BY user_id, session HAVING max(ts)+INTERVAL 2 HOUR<=(SELECT max(ts)-INTERVAL 1 HOUR FROM events)""")
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:

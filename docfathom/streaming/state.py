@@ -38,12 +38,23 @@ def idempotent(requests: DataFrame, at: str, request: str, *keys: str) -> DataFr
     return requests.withWatermark(at, f"{REQUEST_HOURS} hours").groupBy(*keys).applyInPandasWithState(first, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def alert_windows(events: DataFrame, at: str, value: str, minutes: int, threshold: float, late: str = "30 minutes") -> DataFrame:
-    """Tumbling windows whose mean exceeds the threshold, once they are complete."""
-    by = events.withWatermark(at, late).groupBy(F.window(at, f"{minutes} minutes").alias("w")).agg(F.count("*").alias("n"), F.avg(value).alias("level"))
+def alert_windows(events: DataFrame, at: str, value: str, minutes: int, threshold: float, late: str = "30 minutes", slide: int | None = None) -> DataFrame:
+    """Windows of ``minutes`` whose mean exceeds the threshold, once they are complete; one begins every ``slide`` minutes (default: end to end)."""
+    by = events.withWatermark(at, late).groupBy(F.window(at, f"{minutes} minutes", f"{slide or minutes} minutes").alias("w")).agg(F.count("*").alias("n"), F.avg(value).alias("level"))
     return by.filter(F.col("level") > threshold).select(F.col("w.start").alias("begins"), "n", "level")
 
 
+def answered(requests: DataFrame, receipts: DataFrame, key: str, within: str, late: str = "1 hour") -> DataFrame:
+    """Requests (key, request_id, asked_at) with each receipt (key, receipt_id, got_at) of the key from ``asked_at`` to ``within`` after it.
+
+    A request without any has one row with null receipt, once the watermark of both streams has passed its span; so state holds
+    no row longer than ``within`` and ``late`` together.  Rows without key meet nothing.
+    """
+    left, right = requests.withWatermark("asked_at", late).alias("q"), receipts.withWatermark("got_at", late).alias("r")
+    near = (F.col(f"q.{key}") == F.col(f"r.{key}")) & (F.col("got_at") >= F.col("asked_at")) & (F.col("got_at") <= F.col("asked_at") + F.expr(f"INTERVAL {within}"))
+    return left.join(right, near, "left_outer").select(F.col(f"q.{key}").alias(key), "request_id", "receipt_id")
+
+
 def session_windows(events: DataFrame, at: str, key: str, pause: str = "2 hours", late: str = "1 hour") -> DataFrame:
     by = events.withWatermark(at, late).groupBy(F.session_window(at, pause).alias("w"), F.col(key)).agg(F.count("*").alias("events"))
     return by.select(key, F.col("w.start").alias("begins"), F.col("w.end").alias("ends"), "events")
