@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfathom.operators import conversation as C
+from docfathom.operators import sketches as K
 from docfathom.streaming import memory as M
 from docfathom.streaming import state as S
 
@@ -82,6 +83,31 @@ def session_window_2h(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(C.sessions(_events(spark, sf), "user_id", "ts", "event_id"))
 
 
+@query("SELECT event_type, date_trunc('week', ts)::DATE::VARCHAR AS week, count(*) AS n, true AS median_held, true AS tail_held, true AS users_held FROM events GROUP BY 1, 2")
+def sketched_weeks(spark: SparkSession, sf: str) -> DataFrame:
+    """Weeks from sketches of their days, and whether the exact figures lie within the sketches' bounds of them."""
+    events, week = table(spark, sf, "events"), F.date_trunc("week", "day").cast("date").cast("string").alias("week")
+    place = shared_place(spark, "sketches")
+    K.keep(K.daily(events, "ts", "value", "user_id", "event_type"), place)
+    said = K.merged(K.kept(spark, place), "event_type", week)
+    exact = events.withColumn("week", F.date_trunc("week", "ts").cast("date").cast("string")).join(said, ["event_type", "week"])
+
+    def held(figure: str, rank: float) -> Column:
+        return (F.avg((F.col("value") < F.col(figure)).cast("int")) - K.rank_error() <= rank) & (F.avg((F.col("value") <= F.col(figure)).cast("int")) + K.rank_error() >= rank)
+
+    users = F.count_distinct("user_id")
+    near = F.abs(F.first("different") - users) <= F.lit(K.count_error()) * users + 0.5
+    return exact.groupBy("event_type", "week").agg(F.first("n").alias("n"), held("p50", 0.5).alias("median_held"), held("p95", 0.95).alias("tail_held"), near.alias("users_held"))
+
+
+@query("SELECT lang, source, grouping(lang, source)::BIGINT AS level, count(*) AS n, sum(length(text))::BIGINT AS chars, max(length(text)) AS longest, count(DISTINCT text) AS texts FROM documents GROUP BY GROUPING SETS ((lang, source), (lang), (source), ())")
+def grouping_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals of a corpus by language and source, by each alone, and of all."""
+    docs = table(spark, sf, "documents").select("lang", "source", F.length("text").cast("long").alias("size"), F.sha2("text", 256).alias("hash"))  # rows are copied for each set: without their texts
+    sets = [("lang", "source"), ("lang",), ("source",), ()]
+    return K.by_grouping_sets(docs, ("lang", "source"), sets, n=F.count("*"), chars=F.sum("size"), longest=F.max("size"), texts=F.count_distinct("hash"))
+
+
 def _folder(spark: SparkSession) -> str:
     """A place for a stream's result."""
     return shared_place(spark, "stream")
