@@ -96,3 +96,13 @@ def test_batches_and_restarts(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "none"))
     assert M.run(M.memory(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "none"))), str(tmp_path / "c")).count() == 0
+
+
+def test_rows_later_than_the_watermark(spark, tmp_path):
+    """A row before the last one's time, but within the watermark, is applied when it comes; one beyond it is dropped."""
+    day = datetime(2024, 1, 1)
+    for hours in ((0, 10), (9.5, 1), (12,)):
+        rows = [("x", day + timedelta(hours=h), int(h * 10), "append", None, f"m{h}", None, None, None) for h in hours]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = M.run(M.memory(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))), str(tmp_path / "out"))
+    assert [(r[1], r[3]) for r in sorted(out.collect(), key=lambda r: r["version"])] == [(0, 1), (100, 2), (95, 3), (120, 4)]
