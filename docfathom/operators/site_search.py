@@ -1,9 +1,15 @@
-"""Keyword search over a feed: hits of words, best first."""
+"""Keyword search over a feed: hits of words, best first, and slices of text around them."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def search(items: DataFrame, words: list[str], most: int) -> DataFrame:
@@ -17,13 +23,87 @@ def search(items: DataFrame, words: list[str], most: int) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("hit_words"), F.desc("hits"), F.desc("id"))).cast("long"))
 
 
-def slices(content: str, places: list[tuple[int, int]], before: int = 20, after: int = 80) -> list[tuple[int, int, list[tuple[int, int]]]]:
-    """Stretches of text around hits (start, end), merged where they overlap, each with its hits; most hits first."""
-    out: list[tuple[int, int, list[tuple[int, int]]]] = []
-    for a, b in sorted(places):
-        lo, hi = max(0, a - before), min(len(content), b + after)
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], hi), [*out[-1][2], (a, b)])
-        else:
-            out.append((lo, hi, [(a, b)]))
-    return sorted(out, key=lambda s: (-len(s[2]), s[0]))
+#: Characters before and after the start of a slice's first hit; searches and their characters at once.
+BEFORE, AFTER, SEARCHES, CHARACTERS = 20, 80, 2_000, 200_000
+
+
+def keywords(search: str) -> list[str]:
+    """The words of a search, at spaces and hyphens, and the whole search if there are several."""
+    whole = search.strip().lower()
+    words = re.split(r"[-\s]+", whole)
+    return [w for w in [*words, *([whole] if len(words) > 1 else [])] if w]
+
+
+def hits(low: str, words: list[str], found: dict[str, list[int]] | None = None) -> tuple[int, list[tuple[int, str]]]:
+    """How many hits the words have, each by itself, and those that are shown: from left to right, the longest first, none overlapping."""
+    found = {} if found is None else found
+    for w in words:
+        if w not in found:
+            found[w] = [m.start() for m in re.finditer(re.escape(w), low)]
+    every = sorted((a, -len(w), w) for w in words for a in found[w])
+    shown: list[tuple[int, str]] = []
+    end = 0
+    for a, size, w in every:
+        if a >= end:
+            shown.append((a, w))
+            end = a - size
+    return len(every), shown
+
+
+def slices(shown: list[tuple[int, str]], length: int, whole: str) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
+    """Stretches of a text of ``length`` characters: start, end, hits of ``whole``, hits (start, end).
+
+    A stretch goes from BEFORE before its first hit to AFTER behind that hit's start and takes the hits that end within
+    it.  Most hits of the whole search come first, then most hits, then the earlier.
+    """
+    out: list[list] = []
+    for a, w in shown:
+        if not out or a + len(w) > out[-1][1]:
+            out.append([max(0, a - BEFORE), min(max(a + AFTER, a + len(w)), length), 0, []])
+        out[-1][2] += w == whole
+        out[-1][3].append((a, a + len(w)))
+    return sorted(map(tuple, out), key=lambda s: (-s[2], -len(s[3]), s[0]))
+
+
+_SLICE = "struct<start:long,stop:long,whole:long,hits:array<struct<start:long,stop:long>>>"
+_FOUND = f"id {{}}, search_id long, hits long, whole_hits long, title_hits array<struct<start:long,stop:long>>, slices array<{_SLICE}>"
+
+
+def ranked(items: DataFrame, searches: DataFrame, most: int, slices_each: int = 1) -> DataFrame:
+    """The ``most`` best ``items`` (id, title, content) of each of ``searches`` (search_id, search), with their slices.
+
+    Best: most hits of the whole search among those shown, then most hits of its words, then the larger id.  Gives
+    search_id, id, place (from 1), hits, whole_hits, title_hits and the ``slices_each`` best ``slices`` of the content
+    (start, stop, whole, hits), in code points of the lower-case text.  Each text is read once for all searches; a word
+    that several of them have is looked for once.  There may be at most SEARCHES searches of CHARACTERS characters together:
+    more is an error, to be asked in parts.  Null texts are empty, null and empty searches find nothing; items of
+    the same id stand beside each other; other columns are ignored.
+    """
+    asked = searches.filter(F.trim("search") != "").select("search_id", "search").limit(SEARCHES + 1).collect()
+    if len(asked) > SEARCHES or sum(len(r["search"]) for r in asked) > CHARACTERS:
+        raise ValueError(f"more than {SEARCHES} searches or {CHARACTERS} characters of them")
+    known = [(r["search_id"], r["search"].strip().lower(), keywords(r["search"])) for r in asked]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, title, content in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                in_title: dict[str, list[int]] = {}
+                in_content: dict[str, list[int]] = {}
+                rows = []
+                for search, whole, words in known:
+                    n, shown = hits(title, words, in_title)
+                    m, more = hits(content, words, in_content)
+                    if n + m:
+                        cuts = slices(more, len(content), whole)
+                        best = [{"start": a, "stop": b, "whole": k, "hits": [{"start": x, "stop": y} for x, y in h]} for a, b, k, h in cuts[:slices_each]]
+                        shown_title = [{"start": a, "stop": a + len(w)} for a, w in shown]
+                        rows.append({"id": key.as_py(), "search_id": search, "hits": n + m, "whole_hits": sum(w == whole for _, w in (*shown, *more)), "title_hits": shown_title, "slices": best})
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    schema = _FOUND.format(items.schema["id"].dataType.simpleString())
+    narrow = items.select("id", *(F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "content")))
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    order = Window.partitionBy("search_id").orderBy(F.desc("whole_hits"), F.desc("hits"), F.desc("id"))
+    top = narrow.mapInArrow(run, schema).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    return top.select("search_id", "id", F.col("place").cast("long").alias("place"), "hits", "whole_hits", "title_hits", "slices")

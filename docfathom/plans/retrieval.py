@@ -254,6 +254,41 @@ def site_search_rank(spark: SparkSession, sf: str) -> DataFrame:
     return search(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), ["the", "and", "of"], 50).select(F.col("id").alias("doc_id"), "hit_words", "hits", "place")
 
 
+#: Hits of each word in turn; of those from left to right, the longest first, the ones that are shown, by a walk that also cuts the slices.
+_SLICES = r"""WITH RECURSIVE s AS (SELECT item_id, lower(split_part(t,' ',1)||' '||split_part(t,' ',2)) AS whole FROM (SELECT item_id, trim(regexp_replace(text,'[-\s]+',' ','g')) AS t FROM benchmark)),
+k AS (SELECT item_id, whole, unnest([split_part(whole,' ',1),split_part(whole,' ',2),whole]) AS w, unnest([1,2,3]) AS nth FROM s),
+x AS (SELECT DISTINCT w FROM k WHERE w<>''),
+t AS (SELECT doc_id, 'content' AS field, lower(text) AS t FROM documents UNION ALL SELECT doc_id, 'title', lower(CASE WHEN trim(regexp_extract(text,'^[^.\n]*'))='' THEN 'untitled' ELSE trim(regexp_extract(text,'^[^.\n]*')) END) FROM documents),
+p AS (SELECT doc_id, field, w, unnest(string_split(t,w)) AS part, generate_subscripts(string_split(t,w),1) AS i, len(string_split(t,w)) AS n FROM t JOIN x ON contains(t,w)),
+o AS (SELECT doc_id, field, w, start FROM (SELECT *, (sum(length(part)) OVER (PARTITION BY doc_id, field, w ORDER BY i)+(i-1)*length(w))::BIGINT AS start FROM p) WHERE i<n),
+h AS (SELECT item_id, doc_id, field, start, length(w)::BIGINT AS size, (w=whole) AS whole FROM o JOIN k USING(w)),
+c AS (SELECT item_id, doc_id, count(*) AS hits FROM h GROUP BY 1,2),
+f AS (SELECT item_id, doc_id, field, start, max(size) AS size, arg_max(whole,size) AS whole FROM h GROUP BY 1,2,3,4),
+e AS (SELECT f.*, start+size AS stop, length(t)::BIGINT AS len FROM f JOIN t USING(doc_id, field)),
+g AS (SELECT e.*, n.start AS next FROM e ASOF LEFT JOIN f n ON e.item_id=n.item_id AND e.doc_id=n.doc_id AND e.field=n.field AND e.stop<=n.start),
+r(item_id, doc_id, field, start, stop, whole, next, lo, hi) AS (
+ SELECT item_id, doc_id, field, start, stop, whole, next, greatest(0,start-20), least(greatest(start+80,stop),len) FROM g QUALIFY row_number() OVER (PARTITION BY item_id, doc_id, field ORDER BY start)=1
+ UNION ALL SELECT g.item_id, g.doc_id, g.field, g.start, g.stop, g.whole, g.next, CASE WHEN g.stop<=r.hi THEN r.lo ELSE greatest(0,g.start-20) END, CASE WHEN g.stop<=r.hi THEN r.hi ELSE least(greatest(g.start+80,g.stop),g.len) END
+ FROM r JOIN g ON g.item_id=r.item_id AND g.doc_id=r.doc_id AND g.field=r.field AND g.start=r.next),
+v AS (SELECT item_id, doc_id, lo, hi, count(*) FILTER (WHERE whole) AS whole, count(*) AS n, string_agg(start||'-'||stop, ' ' ORDER BY start) AS marks FROM r WHERE field='content' GROUP BY 1,2,3,4),
+b AS (SELECT item_id, doc_id, string_agg(lo||'-'||hi||': '||marks, '; ' ORDER BY place) AS slices FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY whole DESC, n DESC, lo) AS place FROM v) WHERE place<=3 GROUP BY 1,2),
+u AS (SELECT item_id, doc_id, count(*) FILTER (WHERE whole) AS whole_hits, count(*) FILTER (WHERE field='title') AS in_title FROM r GROUP BY 1,2)
+SELECT item_id, doc_id, hits, whole_hits, in_title, coalesce(slices,'') AS slices, row_number() OVER (PARTITION BY item_id ORDER BY whole_hits DESC, hits DESC, doc_id DESC) AS place FROM c JOIN u USING(item_id, doc_id) LEFT JOIN b USING(item_id, doc_id) QUALIFY place<=20"""
+
+
+@query(_SLICES)
+def site_search_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """The first two words of each benchmark item as a search over all documents: the 20 best, three slices each."""
+    from docfathom.operators.site_search import ranked
+
+    word = lambda n: F.split_part(F.trim(F.regexp_replace("text", r"[-\s]+", " ")), F.lit(" "), F.lit(n))
+    searches = table(spark, sf, "benchmark").select(F.col("item_id").alias("search_id"), F.concat_ws(" ", word(1), word(2)).alias("search"))
+    got = ranked(chunks(spark, sf).select(F.col("position").alias("id"), "title", "content"), searches, 20, 3)
+    marks = lambda hits: F.array_join(F.transform(hits, lambda h: F.concat_ws("-", h["start"], h["stop"])), " ")
+    shown = F.array_join(F.transform("slices", lambda s: F.concat(s["start"], F.lit("-"), s["stop"], F.lit(": "), marks(s["hits"]))), "; ")
+    return got.select(F.col("search_id").alias("item_id"), F.col("id").alias("doc_id"), "hits", "whole_hits", F.size("title_hits").cast("long").alias("in_title"), shown.alias("slices"), "place")
+
+
 @query(r"""WITH a AS (SELECT 'doc_'||doc_id AS id, doc_id, source, lower(text) AS t FROM documents WHERE source IN ('src1','src2')), dim AS (SELECT * FROM (VALUES ('core',''),('time','time'),('tion','tion')) v(dimension,term))
 SELECT source, dimension, id, n FROM (SELECT source, dimension, id, doc_id, CASE WHEN term='' THEN 0 ELSE (length(t)-length(replace(t,term,'')))//length(nullif(term,'')) END AS n, row_number() OVER (PARTITION BY source, dimension ORDER BY CASE WHEN term='' THEN 0 ELSE (length(t)-length(replace(t,term,'')))//length(nullif(term,'')) END DESC, doc_id) AS k FROM a, dim WHERE term='' OR contains(t,term)) WHERE k=1""")
 def compare_matrix(spark: SparkSession, sf: str) -> DataFrame:

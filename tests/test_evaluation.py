@@ -69,3 +69,23 @@ def test_search_words_are_literal(spark):
     items = spark.createDataFrame([(1, "It's what it's"), (2, "a\\b"), (3, "none")], "id long, content string")
     got = {r["id"]: (r["hit_words"], r["hits"]) for r in site_search.search(items, ["it's", "\\", "a"], 10).collect()}
     assert got == {1: (2, 3), 2: (2, 2)}
+
+
+def test_slices_show_hits_that_do_not_overlap():
+    n, shown = site_search.hits("aaa b xaaa", site_search.keywords("AA-b"))
+    assert (n, shown) == (3, [(0, "aa"), (4, "b"), (7, "aa")])
+    n, shown = site_search.hits("aaa b", site_search.keywords("aa b"))
+    assert (n, shown) == (3, [(0, "aa"), (4, "b")])  # the whole search overlaps a hit before it
+    text = "k" + "." * 100 + "k k" + "." * 76 + "kk"
+    _, shown = site_search.hits(text, ["k"])
+    assert site_search.slices(shown, len(text), "k") == [(81, 181, 3, [(101, 102), (103, 104), (180, 181)]), (0, 80, 1, [(0, 1)]), (161, 182, 1, [(181, 182)])]
+
+
+def test_search_over_titles_and_contents(spark):
+    items = spark.createDataFrame([(1, "Deep work", "a b"), (2, None, "deep work, deep"), (3, "x", None), (4, "", "Deep"), (5, "Work", "deep"), (5, "Work", "deep")], "id long, title string, content string").withColumn("hits", F.lit(0))
+    searches = spark.createDataFrame([(1, " Deep Work "), (2, None), (3, ""), (4, "none")], "search_id int, search string")
+    got = [(r["id"], r["place"], r["hits"], r["whole_hits"], len(r["title_hits"]), len(r["slices"])) for r in site_search.ranked(items, searches, 10).orderBy("place").collect()]
+    assert got == [(2, 1, 4, 1, 0, 1), (1, 2, 3, 1, 1, 0), (5, 3, 2, 0, 1, 1), (5, 4, 2, 0, 1, 1), (4, 5, 1, 0, 0, 1)]
+    assert site_search.ranked(items.limit(0), searches, 10).count() == 0 and site_search.ranked(items, searches.limit(0), 10).count() == 0
+    with pytest.raises(ValueError):
+        site_search.ranked(items, spark.range(2001).select(F.col("id").alias("search_id"), F.lit("a").alias("search")), 10)
