@@ -10,6 +10,7 @@ from docfathom.functions import tokens as K
 from docfathom.operators import agent as A
 from docfathom.operators import claims as C
 from docfathom.operators import embedding as E
+from docfathom.operators import model_json as J
 from docfathom.operators import tools as T
 from docfathom.sources import markdown as S
 
@@ -153,3 +154,42 @@ def tool_registry_validate(spark: SparkSession, sf: str) -> DataFrame:
 def tool_search(spark: SparkSession, sf: str) -> DataFrame:
     asked = questions(spark, sf).orderBy("query_id").first()["question"]
     return T.Registry(chunks(spark, sf), ORIGIN).execute("search_blog", {"query": asked, "tags": ["en"], "top_k": 10}).select("id", "rank", F.round("score", 6).alias("score"))
+
+
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document as a model's answer of one claim, by doc_id modulo 7 fenced, amid prose, torn or of a wrong shape."""
+    text = F.coalesce("text", F.lit(""))
+    said = F.expr("substring(j, 2, length(j) - 2)")
+    case = F.col("doc_id") % 7
+    question = F.when(case == 6, "").otherwise('"subquestionId":"sq_1",')
+    claim = F.concat(F.lit('{"id":"c1",'), question, F.lit('"text":'), said, F.lit(',"quote":'), F.when(case == 1, "null").otherwise(said), F.lit(',"citationIds":["a",'), F.when(case == 2, "2").otherwise('"b"'), F.lit("]}"))
+    listed = F.when(case == 3, F.concat_ws(",", *[claim] * 4)).otherwise(claim)
+    whole = F.concat(F.lit('{"claims":['), listed, F.lit("]"), F.when(case == 6, ',"unansweredSubquestions":{}').otherwise(""), F.when(case == 5, "").otherwise("}"))
+    around = F.when(case == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(case == 4, F.concat(F.lit('So "it" is: '), whole, F.lit(' {"claims":[]}'))).otherwise(whole)
+    return table(spark, sf, "documents").select("doc_id", F.to_json(F.array(text)).alias("j")).select("doc_id", J.parsed(around).alias("v"))
+
+
+@query("""SELECT doc_id, path, rule FROM documents JOIN (VALUES (1,'$.claims[0].quote','not_string'),(2,'$.claims[0].citationIds[1]','not_string'),(3,'$.claims','too_many'),(5,'$','invalid_json'),
+ (6,'$.claims[0].subquestionId','missing'),(6,'$.unansweredSubquestions','not_array')) v(m,path,rule) ON doc_id%7=m""")
+def answer_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return J.violations(_answers(spark, sf), "doc_id", "v", J.GROUNDED)
+
+
+@query("SELECT doc_id, 0::BIGINT AS place, 'sq_1' AS subquestion_id, md5(coalesce(text,'')) AS text_md5, 'a,b' AS citations FROM documents WHERE doc_id%7 IN (0,4)")
+def answer_claims(spark: SparkSession, sf: str) -> DataFrame:
+    got = J.claims(_answers(spark, sf), "doc_id", "v")
+    return got.select("doc_id", "place", "subquestion_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.array_join("citation_ids", ",").alias("citations"))
+
+
+@query(r"""SELECT event_id, CASE WHEN event_id%5=3 THEN NULL ELSE (props->>'k')::BIGINT END AS k, CASE WHEN event_id%5=3 THEN 'invalid_json' WHEN (props->>'k')::BIGINT IS NULL THEN 'no number' ELSE 'number' END AS outcome FROM events""")
+def event_props(spark: SparkSession, sf: str) -> DataFrame:
+    """Properties of events as VARIANT, as they come: plain, fenced, amid prose, torn, beside braces in strings."""
+    p, case = F.col("props"), F.col("event_id") % 5
+    seen = (
+        F.when(case == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(case == 2, F.concat(F.lit("Props: "), p, F.lit(" and {more}")))
+        .when(case == 3, F.expr("substring(props, 1, length(props) - 1)")).when(case == 4, F.concat(F.lit("x "), F.expr("substring(props, 1, length(props) - 1)"), F.lit(r',"s":"} \" {"} y'))).otherwise(p)
+    )
+    rows = table(spark, sf, "events").select("event_id", J.parsed(seen).alias("v"))
+    k = F.try_variant_get("v", "$.k", "variant")
+    outcome = F.when(F.col("v").isNull(), "invalid_json").when(J.kind(k) == "number", "number").otherwise("no number")
+    return rows.select("event_id", F.try_variant_get("v", "$.k", "long").alias("k"), outcome.alias("outcome"))
