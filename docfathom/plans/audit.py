@@ -10,6 +10,7 @@ from docfathom.functions.hashing import content_hash as hashed
 from docfathom.operators import graph as G
 from docfathom.operators import integrity as I
 from docfathom.operators import metrics as M
+from docfathom.sources import publication as P
 
 from .base import query, shared_place, table
 
@@ -265,3 +266,20 @@ def distinct_labels(spark: SparkSession, sf: str) -> DataFrame:
 def count_by_profile(spark: SparkSession, sf: str) -> DataFrame:
     profile = F.when(X.text(F.col("source")) != "", F.col("source"))
     return table(spark, sf, "documents").filter(profile.isNotNull()).groupBy(profile.alias("profile")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'vec_'||vec_id AS id, CASE WHEN vec_id%7=0 THEN 'added' WHEN vec_id%11=0 THEN 'updated' ELSE 'reused' END AS status, md5(vec_id||'.2') AS content_hash, len(embedding)::BIGINT AS dimensions,
+ round(sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE*x::DOUBLE))),4) AS norm FROM embeddings WHERE vec_id%13<>0""")
+def index_publication(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of all vectors published twice: a seventh comes new, an eleventh changes, a thirteenth goes.  What readers see then."""
+    rows = table(spark, sf, "embeddings").select(F.concat(F.lit("vec_"), "vec_id").alias("id"), "vec_id", F.col("embedding").cast("array<double>").alias("values"))
+    hashed_as = lambda n: F.md5(F.concat(F.col("vec_id").cast("string"), F.lit(n)).cast("binary"))
+    folder, size = shared_place(spark, "publication"), rows.select(F.size("values")).first()[0]
+    before = rows.filter("vec_id % 7 <> 0").withColumn("content_hash", F.when(F.col("vec_id") % 11 == 0, hashed_as(".1")).otherwise(hashed_as(".2")))
+    now = rows.filter("vec_id % 13 <> 0").withColumn("content_hash", hashed_as(".2"))
+    given = lambda todo: todo.select("id", "values")  # noqa: E731  the table has the vectors
+    P.publish(before, given, folder, "f1", size, version="v1")
+    P.publish(now, given, folder, "f1", size, version="v2")
+    status = I.changes(now, P.read(spark, folder, P.VECTORS, "v1"))
+    norm = F.round(F.sqrt(F.aggregate("values", F.lit(0.0), lambda s, x: s + x * x)), 4)
+    return P.read(spark, folder, P.VECTORS).join(status, "id").select("id", "status", "content_hash", F.size("values").cast("long").alias("dimensions"), norm.alias("norm"))
