@@ -269,7 +269,7 @@ def count_by_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT 'vec_'||vec_id AS id, CASE WHEN vec_id%7=0 THEN 'added' WHEN vec_id%11=0 THEN 'updated' ELSE 'reused' END AS status, md5(vec_id||'.2') AS content_hash, len(embedding)::BIGINT AS dimensions,
- round(sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE*x::DOUBLE))),4) AS norm FROM embeddings WHERE vec_id%13<>0""")
+ round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE*x::DOUBLE))),4) AS norm FROM embeddings WHERE vec_id%13<>0""")
 def index_publication(spark: SparkSession, sf: str) -> DataFrame:
     """An index of all vectors published twice: a seventh comes new, an eleventh changes, a thirteenth goes.  What readers see then."""
     rows = table(spark, sf, "embeddings").select(F.concat(F.lit("vec_"), "vec_id").alias("id"), "vec_id", F.col("embedding").cast("array<double>").alias("values"))
