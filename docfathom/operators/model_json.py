@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,11 @@ VERIFICATION = (
 )
 
 
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once, however often it names it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def bare(c: Column) -> Column:
     """An answer without the fence around it."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), FENCE_BEFORE, ""), FENCE_AFTER, ""))
@@ -54,7 +60,7 @@ def first_object(c: Column) -> Column:
         )
 
     cut = F.aggregate(F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(1)), start, step, lambda s: F.struct(s["start"], s["stop"]))
-    return F.when(cut["stop"] >= 0, F.substring(c, cut["start"] + 1, cut["stop"] - cut["start"]))
+    return _once(cut, lambda x: F.when(x["stop"] >= 0, F.substring(c, x["start"] + 1, x["stop"] - x["start"])))
 
 
 def whole(c: Column) -> Column:
@@ -63,13 +69,17 @@ def whole(c: Column) -> Column:
     The parser stops behind the first value, so the answer is read as a member with another one behind it.  An
     object that has a name twice is no VARIANT: null.
     """
-    held = F.try_parse_json(F.concat(F.lit('{"value":'), bare(c), F.lit(r',"\u0003":0}')))
-    return F.when(F.try_variant_get(held, "$['\u0003']", "int") == 0, _at(held, "value"))
+    return _whole(bare(c))
+
+
+def _whole(c: Column) -> Column:
+    held = F.try_parse_json(F.concat(F.lit('{"value":'), c, F.lit(r',"\u0003":0}')))
+    return _once(held, lambda h: F.when(F.try_variant_get(h, "$['\u0003']", "int") == 0, _at(h, "value")))
 
 
 def parsed(c: Column) -> Column:
     """An answer as VARIANT: the whole of it, or else its first whole object; null if neither is JSON."""
-    return F.coalesce(whole(c), F.try_parse_json(first_object(bare(c))))
+    return _once(bare(c), lambda b: F.coalesce(_whole(b), F.try_parse_json(first_object(b))))
 
 
 def kind(v: Column) -> Column:

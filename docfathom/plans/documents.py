@@ -14,7 +14,7 @@ from docfathom.operators import model_json as J
 from docfathom.operators import tools as T
 from docfathom.sources import markdown as S
 
-from .base import ORIGIN, chunks, query, questions, table
+from .base import ORIGIN, chunks, query, questions, spread, table
 
 REGISTRY = {"default": "generic-article", "documents": {"doc-3.md": "tutorial"}, "paths": [{"glob": "fr/**/*.md", "profile": "math-note"}, {"glob": "de/*.md", "profile": "faq-reference"}]}
 
@@ -166,7 +166,7 @@ def _answers(spark: SparkSession, sf: str) -> DataFrame:
     listed = F.when(case == 3, F.concat_ws(",", *[claim] * 4)).otherwise(claim)
     whole = F.concat(F.lit('{"claims":['), listed, F.lit("]"), F.when(case == 6, ',"unansweredSubquestions":{}').otherwise(""), F.when(case == 5, "").otherwise("}"))
     around = F.when(case == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(case == 4, F.concat(F.lit('So "it" is: '), whole, F.lit(' {"claims":[]}'))).otherwise(whole)
-    return table(spark, sf, "documents").select("doc_id", F.to_json(F.array(text)).alias("j")).select("doc_id", J.parsed(around).alias("v"))
+    return spread(table(spark, sf, "documents"), "doc_id").select("doc_id", F.to_json(F.array(text)).alias("j")).select("doc_id", J.parsed(around).alias("v"))
 
 
 @query("""SELECT doc_id, path, rule FROM documents JOIN (VALUES (1,'$.claims[0].quote','not_string'),(2,'$.claims[0].citationIds[1]','not_string'),(3,'$.claims','too_many'),(5,'$','invalid_json'),
