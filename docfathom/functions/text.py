@@ -113,7 +113,8 @@ def safe_error_code(c: Column, fallback: str) -> Column:
 
 
 def has_negation(c: Column) -> Column:
-    return text(c).rlike(r"(?i)(?:不是|没有|没(?:有|能|法)?|无|非|未|不能|不会|无法|禁止|避免|拒绝|\bnot\b|\bno\b|\bnever\b|\bwithout\b)")
+    """Word boundaries are those of ASCII, as in the studied behaviour and in SQL; Java's ``\\b`` takes accented letters for parts of words."""
+    return text(c).rlike(r"(?i)(?:不是|没有|没(?:有|能|法)?|无|非|未|不能|不会|无法|禁止|避免|拒绝|(?<![0-9a-z_])(?:not|no|never|without)(?![0-9a-z_]))")
 
 
 def numbers(c: Column) -> Column:
