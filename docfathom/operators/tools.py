@@ -73,7 +73,7 @@ class Registry:
 
     def _ask(self, chunks: DataFrame, query: str, k: int) -> DataFrame:
         asked = chunks.sparkSession.createDataFrame([(0, query)], "query_id long, question string")
-        return R.ranked(R.bm25(chunks, asked, self.origin), k).drop("query_id")
+        return R.bm25_best(chunks, asked, self.origin, k).drop("query_id")
 
     def _search_blog(self, a: dict) -> DataFrame:
         kept = self.chunks
