@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,16 @@ class Threshold:
         return self.den * common >= self.num * (a + b - common)
 
 
+def packed_counts(row: np.ndarray) -> bytes:
+    """A row of counters, compressed: those of one task are small numbers."""
+    return zstandard.ZstdCompressor(level=1).compress(row.astype(np.uint8 if row.max() < 256 else np.uint32).tobytes())
+
+
+def unpacked_counts(packed: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    return np.frombuffer(raw, np.uint8 if len(raw) == SKETCH_ROW else np.uint32).astype(np.uint64)
+
+
 def sketch_levels(docs: DataFrame, size: int) -> np.ndarray:
     """Levels (log2 of counts) of hashed shingles over all documents: an array of SKETCH bytes."""
 
@@ -68,13 +79,13 @@ def sketch_levels(docs: DataFrame, size: int) -> np.ndarray:
                 total += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
         if total.any():
             rows = total.reshape(-1, SKETCH_ROW)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([packed_counts(r) for r in rows], pa.binary())], names=["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                row = np.frombuffer(counts.as_py(), np.uint32).astype(np.uint64)
+                row = unpacked_counts(counts.as_py())
                 sums[part] = sums[part] + row if part in sums else row
         for part, row in sums.items():
             level = np.ceil(np.log2(row + 1.0)).astype(np.uint8)
