@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,41 +71,90 @@ _SLICE = "struct<start:long,stop:long,whole:long,hits:array<struct<start:long,st
 _FOUND = f"id {{}}, search_id long, hits long, whole_hits long, title_hits array<struct<start:long,stop:long>>, slices array<{_SLICE}>"
 
 
+def places(automaton, low: str) -> dict[str, list[int]]:
+    """Where each word of the automaton that stands in a text begins, as a search that goes on behind each hit finds them."""
+    out: dict[str, list[int]] = {}
+    for end, w in automaton.iter(low):
+        start = end + 1 - len(w)
+        held = out.setdefault(w, [])
+        if not held or start >= held[-1] + len(w):
+            held.append(start)
+    return out
+
+
+def best(known: list[tuple[int, str, list[str]]], most: int, slices_each: int, arrow: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches (id, title, content) to the ``most`` best of them for each of ``known`` (search_id, search, words).
+
+    Words are counted once a text; hits that overlap are sorted out, and slices cut, only for what may be among the best so far.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        number = {w: i for i, w in enumerate(dict.fromkeys(w for _, _, words in known for w in words))}
+        if not number or most < 1:
+            return
+        automaton = ahocorasick.Automaton()
+        for w in number:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        wide = max(len(words) for _, _, words in known)
+        # Numbers of each search's words; the last one stands for none.
+        inside = np.array([[*(number[w] for w in words), *[len(number)] * (wide - len(words))] for _, _, words in known])
+        entire = np.array([number[whole] if whole in words else len(number) for _, whole, words in known])
+        heaps: list[list[tuple]] = [[] for _ in known]
+        least = np.full((2, len(known)), -1)
+        seen = 0
+        for batch in batches:
+            for key, title, content in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                both = places(automaton, title), places(automaton, content)
+                count = np.zeros(len(number) + 1, np.int64)
+                for found in both:
+                    for w, at in found.items():
+                        count[number[w]] += len(at)
+                n, at_most = count[inside].sum(axis=1), count[entire]
+                some = (n > 0) & ((at_most > least[0]) | (at_most == least[0]) & (n >= least[1]))
+                key = key.as_py()
+                for i in np.flatnonzero(some).tolist():
+                    search, whole, words = known[i]
+                    _, shown = hits(title, words, {w: both[0].get(w, []) for w in words})
+                    _, more = hits(content, words, {w: both[1].get(w, []) for w in words})
+                    of_whole = sum(w == whole for _, w in (*shown, *more))
+                    rank, seen = (of_whole, int(n[i]), key is not None, key, seen), seen + 1
+                    heap = heaps[i]
+                    if len(heap) == most and rank < heap[0][0]:
+                        continue
+                    cuts = slices(more, len(content), whole)
+                    kept = [{"start": a, "stop": b, "whole": k, "hits": [{"start": x, "stop": y} for x, y in h]} for a, b, k, h in cuts[:slices_each]]
+                    row = {"id": key, "search_id": search, "hits": int(n[i]), "whole_hits": of_whole, "title_hits": [{"start": a, "stop": a + len(w)} for a, w in shown], "slices": kept}
+                    (heapq.heapreplace if len(heap) == most else heapq.heappush)(heap, (rank, row))
+                    if len(heap) == most:
+                        least[:, i] = heap[0][0][:2]
+        for heap in heaps:
+            if heap:
+                yield pa.RecordBatch.from_pylist([row for _, row in heap], schema=arrow)
+
+    return run
+
+
 def ranked(items: DataFrame, searches: DataFrame, most: int, slices_each: int = 1) -> DataFrame:
     """The ``most`` best ``items`` (id, title, content) of each of ``searches`` (search_id, search), with their slices.
 
     Best: most hits of the whole search among those shown, then most hits of its words, then the larger id.  Gives
     search_id, id, place (from 1), hits, whole_hits, title_hits and the ``slices_each`` best ``slices`` of the content
-    (start, stop, whole, hits), in code points of the lower-case text.  Each text is read once for all searches; a word
-    that several of them have is looked for once.  There may be at most SEARCHES searches of CHARACTERS characters together:
+    (start, stop, whole, hits), in code points of the lower-case text.  Each text is read once for all searches, whose
+    words are found in one pass; a task sends its ``most`` best of each search.  There may be at most SEARCHES searches of CHARACTERS characters together:
     more is an error, to be asked in parts.  Null texts are empty, null and empty searches find nothing; items of
-    the same id stand beside each other; other columns are ignored.
+    the same id stand beside each other; other columns are ignored.  Ids are numbers or strings.
     """
     asked = searches.filter(F.trim("search") != "").select("search_id", "search").limit(SEARCHES + 1).collect()
     if len(asked) > SEARCHES or sum(len(r["search"]) for r in asked) > CHARACTERS:
         raise ValueError(f"more than {SEARCHES} searches or {CHARACTERS} characters of them")
     known = [(r["search_id"], r["search"].strip().lower(), keywords(r["search"])) for r in asked]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, title, content in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                in_title: dict[str, list[int]] = {}
-                in_content: dict[str, list[int]] = {}
-                rows = []
-                for search, whole, words in known:
-                    n, shown = hits(title, words, in_title)
-                    m, more = hits(content, words, in_content)
-                    if n + m:
-                        cuts = slices(more, len(content), whole)
-                        best = [{"start": a, "stop": b, "whole": k, "hits": [{"start": x, "stop": y} for x, y in h]} for a, b, k, h in cuts[:slices_each]]
-                        shown_title = [{"start": a, "stop": a + len(w)} for a, w in shown]
-                        rows.append({"id": key.as_py(), "search_id": search, "hits": n + m, "whole_hits": sum(w == whole for _, w in (*shown, *more)), "title_hits": shown_title, "slices": best})
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
     schema = _FOUND.format(items.schema["id"].dataType.simpleString())
     narrow = items.select("id", *(F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "content")))
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
     order = Window.partitionBy("search_id").orderBy(F.desc("whole_hits"), F.desc("hits"), F.desc("id"))
-    top = narrow.mapInArrow(run, schema).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    top = narrow.mapInArrow(best(known, most, slices_each, arrow), schema).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
     return top.select("search_id", "id", F.col("place").cast("long").alias("place"), "hits", "whole_hits", "title_hits", "slices")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,16 @@ def test_search_over_titles_and_contents(spark):
     assert site_search.ranked(items.limit(0), searches, 10).count() == 0 and site_search.ranked(items, searches.limit(0), 10).count() == 0
     with pytest.raises(ValueError):
         site_search.ranked(items, spark.range(2001).select(F.col("id").alias("search_id"), F.lit("a").alias("search")), 10)
+
+
+def test_a_task_sends_the_best_of_each_search_only():
+    arrow = pa.schema([("id", pa.int64()), ("search_id", pa.int64()), ("hits", pa.int64()), ("whole_hits", pa.int64()), ("title_hits", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("slices", pa.list_(pa.struct([("start", pa.int64())])))])
+    texts = [("", "a " * (i % 7) + "a b" * (i % 3 == 0)) for i in range(50)]
+    batches = [pa.RecordBatch.from_pylist([{"id": i, "title": t, "content": c} for i, (t, c) in enumerate(texts)][k::2]) for k in range(2)]
+    known = [(s, w, site_search.keywords(w)) for s, w in enumerate(["a b", "a", "none", "aa"])]
+    rows = [r for b in site_search.best(known, 3, 1, arrow)(iter(batches)) for r in b.to_pylist()]
+    want = []
+    for s, whole, words in known:
+        each = [(sum(w == whole for _, w in site_search.hits(c, words)[1]), site_search.hits(c, words)[0], i) for i, (_, c) in enumerate(texts)]
+        want += [(s, *x) for x in sorted((x for x in each if x[1]), reverse=True)[:3]]
+    assert sorted((r["search_id"], r["whole_hits"], r["hits"], r["id"]) for r in rows) == sorted(want) and len(rows) == 6
