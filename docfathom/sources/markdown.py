@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import json
+import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docfathom import schemas
 from docfathom.functions.tokens import ascii_slug
@@ -21,6 +23,7 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+@functools.cache
 def glob_pattern(glob: str) -> str:
     """A path pattern (``**/``, ``**``, ``*``, ``?``) as a regular expression."""
     parts = re.split(r"(\*\*/|\*\*|\*|\?)", glob)
@@ -51,8 +54,8 @@ def as_list(value: object) -> list[str]:
     return [str(x).strip() for x in items if x is not None and str(x).strip()]
 
 
-def parse(path: str, text: str, registry: dict, origin: str) -> dict:
-    """One file to its post, chunks, code blocks and links; a fault names the file."""
+def read(path: str, text: str, registry: dict, origin: str) -> tuple[dict, str, int]:
+    """One file to its post, body and the line on which the body begins; a fault names the file."""
     try:
         fields, body, line = M.front_matter(text)
     except ValueError as e:
@@ -65,38 +68,72 @@ def parse(path: str, text: str, registry: dict, origin: str) -> dict:
         "id": title, "title": title, "url": f"{origin}/{slug}/", "sourcePath": short, "slug": slug, "date": str(fields.get("date") or ""), "published": not flag(fields.get("published"), "false|no|off|0"),
         "draft": flag(fields.get("draft"), "true|yes|on|1"), "tags": as_list(fields.get("tags")), "categories": as_list(fields.get("categories")), "profile": profile, "profileSource": source, "content": body, "bodyLine": line,
     }
-    chunks = M.chunk_post(post, body, line)
+    return post, body, line
+
+
+def chunks_of(post: dict, body: str, line: int, parsed: list[M.Section]) -> list[dict]:
+    chunks = M.chunk_post(post, body, line, parsed)
     if not chunks:  # a post that is only a resource still gets a chunk
         links = re.findall(r"\]\(([^)\s]+)\)", body)
-        meta = M.chunk_post(post, "\n\n".join([title, *links]), line)[:1]
+        meta = M.chunk_post(post, "\n\n".join([post["title"], *links]), line)[:1]
         chunks = [{**c, "metadataOnly": True, "blockTypes": ["metadata"], "sourceLines": None} for c in meta]
-    return {"post": post, "chunks": chunks, "code": M.code_blocks(post, body, chunks, line), "links": [{"sourcePostId": post["id"], "sourceUrl": post["url"], "label": a, "target": b, "anchor": c} for a, b, c in M.internal_links(body, origin)]}
+    return chunks
+
+
+def _code(post: dict, body: str, line: int) -> list[dict]:
+    parsed = M.sections(body, line)
+    if not any(b.type == "code" for s in parsed for b in s.blocks):
+        return []
+    return M.code_blocks(post, body, chunks_of(post, body, line, parsed), line, parsed=parsed)
+
+
+def _links(post: dict, body: str, origin: str) -> list[dict]:
+    return [{"sourcePostId": post["id"], "sourceUrl": post["url"], "label": a, "target": b, "anchor": c} for a, b, c in M.internal_links(body, origin)]
+
+
+#: Characters of text that are parsed before their rows are sent.
+CHARACTERS = 1 << 20
+_LINKS = "sourcePostId string, sourceUrl string, label string, target string, anchor string"
+
+
+def pieces(batches: Iterator[pa.RecordBatch], of: Callable[[str, str], list[dict]], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Files (path, text) to the rows that ``of`` makes of each, sent every CHARACTERS of text: memory follows these, not the batch."""
+    rows: list[dict] = []
+    size = 0
+    for batch in batches:
+        for path, text in zip(*batch.columns, strict=True):
+            whole = text.as_py() or ""
+            rows += of(path.as_py(), whole)
+            size += len(whole)
+            if size >= CHARACTERS:
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
 
 def corpus(rows: DataFrame, origin: str = "https://example.org", registry: dict | None = None) -> dict[str, DataFrame]:
-    """``posts``, ``chunks``, ``code_blocks`` and ``links`` of files (path, text); drafts and unpublished posts are left out."""
+    """``posts``, ``chunks``, ``code_blocks`` and ``links`` of files (path, text); drafts and unpublished posts are left out.
+
+    Each of the four reads the files and parses what it needs: posts their front matter only.
+    """
     known = registry or {}
+    kinds = {
+        "posts": (schemas.POST, lambda post, body, line: [post]), "chunks": (schemas.CHUNK, lambda post, body, line: chunks_of(post, body, line, M.sections(body, line))),
+        "code_blocks": (schemas.CODE_BLOCK, _code), "links": (_LINKS, lambda post, body, line: _links(post, body, origin)),
+    }
+
+    def table(schema: str, of: Callable[[dict, str, int], list[dict]]) -> DataFrame:
+        arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+        def one(path: str, text: str) -> list[dict]:
+            post, body, line = read(path, text, known, origin)
+            return of(post, body, line) if post["published"] and not post["draft"] else []
+
+        return rows.select("path", "text").mapInArrow(lambda batches: pieces(batches, one, arrow), schema)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({"json": [json.dumps(parse(p, t or "", known, origin), ensure_ascii=False) for p, t in zip(part["path"], part["text"], strict=True)]})
-
-    shape = f"post struct<{_fields(schemas.POST)}>, chunks array<struct<{_fields(schemas.CHUNK)}>>, code array<struct<{_fields(schemas.CODE_BLOCK)}>>, links array<struct<sourcePostId:string,sourceUrl:string,label:string,target:string,anchor:string>>"
-    parsed = rows.mapInPandas(run, "json string").select(F.from_json("json", shape).alias("x")).select("x.*").filter("post.published and not post.draft")
-    each = lambda c: parsed.select(F.explode(c).alias("x")).select("x.*")
-    return {"posts": parsed.select("post.*"), "chunks": each("chunks"), "code_blocks": each("code"), "links": each("links")}
-
-
-def _fields(ddl: str) -> str:
-    depth, out, word = 0, [], ""
-    for c in ddl:
-        depth += (c == "<") - (c == ">")
-        if c == "," and depth == 0:
-            out.append(word)
-            word = ""
-        else:
-            word += c
-    return ",".join(":".join(f.strip().split(" ", 1)) for f in [*out, word])
+    return {name: table(*kind) for name, kind in kinds.items()}
 
 
 def write_versioned(frames: dict[str, DataFrame], folder: str, version: str, check=None) -> str:

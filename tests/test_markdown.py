@@ -108,3 +108,12 @@ def test_corpus_from_files(spark, tmp_path):
     assert got["code_blocks"].count() == 1 and got["links"].count() == 1
     S.write_versioned(got, str(tmp_path / "out"), "v1")
     assert S.read_version(spark, str(tmp_path / "out"), ["chunks"])["chunks"].count() == len(chunks)
+
+
+def test_rows_are_sent_piece_by_piece():
+    import pyarrow as pa
+
+    arrow = pa.schema([("path", pa.string()), ("n", pa.int64())])
+    batch = pa.RecordBatch.from_pydict({"path": [f"p{i}" for i in range(40)], "text": ["x" * (S.CHARACTERS // 4)] * 39 + [None]})
+    sent = [b.num_rows for b in S.pieces(iter([batch]), lambda p, t: [{"path": p, "n": len(t)}], arrow)]
+    assert sent == [4] * 10 and list(S.pieces(iter([batch]), lambda p, t: [], arrow)) == []
