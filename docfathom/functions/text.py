@@ -36,7 +36,11 @@ def snippet(c: Column, most: int) -> Column:
 
 def terms(c: Column) -> Column:
     """Latin terms in order, then the pairs of neighbours in each run of Han characters (single ones as they are)."""
-    base = normalized(c)
+    return terms_of(normalized(c))
+
+
+def terms_of(base: Column) -> Column:
+    """``terms`` of a text that is in normal form."""
     runs = F.regexp_extract_all(base, F.lit(HAN_RUN), F.lit(0))
     pairs = F.transform(runs, lambda s: F.when(F.length(s) == 1, F.array(s)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2)))))
     return F.concat(F.regexp_extract_all(base, F.lit(LATIN_TERM), F.lit(0)), F.flatten(pairs))
