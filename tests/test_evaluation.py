@@ -103,3 +103,17 @@ def test_a_task_sends_the_best_of_each_search_only():
         each = [(sum(w == whole for _, w in site_search.hits(c, words)[1]), site_search.hits(c, words)[0], i) for i, (_, c) in enumerate(texts)]
         want += [(s, *x) for x in sorted((x for x in each if x[1]), reverse=True)[:3]]
     assert sorted((r["search_id"], r["whole_hits"], r["hits"], r["id"]) for r in rows) == sorted(want) and len(rows) == 6
+
+
+def test_hash_embedding_equals_a_plain_sum_of_features():
+    from docfathom.operators import embedding as E
+
+    provider = E.LocalProvider(16, {"c": ["ab"]})
+    text = "ab ab ab a.b 你好吗 ab"
+    v = [0.0] * 16
+    for feature, weight in provider.features(text).items():
+        place, sign = E._place(feature)
+        v[place % 16] += sign * weight
+    norm = sum(x * x for x in v) ** 0.5
+    assert provider.embed_documents([text, ""]) == [pytest.approx([x / norm for x in v], abs=1e-8), [0.0] * 16]
+    assert provider.features("ab ab ab")["term:ab"] == 0.0 + E.TERM_WEIGHT + E.TERM_WEIGHT + E.TERM_WEIGHT
