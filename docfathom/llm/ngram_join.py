@@ -1,7 +1,7 @@
 """N-gram Jaccard join: sets in one global order, candidates by prefix, verified in tries.
 
-1. A sketch of fixed size counts shingles; its levels, then the hash, order all shingles, rare first.
-   The order only decides how much work there is: any order gives the same links.
+1. A sketch counts shingles, with counters by the size of the input's files; its levels, then the hash, order all shingles,
+   rare first.  The order only decides how much work there is: any order gives the same links.
 2. Texts with equal sets are one class.  Each class sends the first tokens of its ordered set
    (the prefix that any similar set must touch), with its size and their places.
 3. Classes that meet in a token pass the bounds on size, place and parity bits (all of them exact:
@@ -20,17 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import shingle_sets
-from .store import dealt, stored
+from .store import dealt, file_bytes, stored
 from .textblocks import blocks, mix, ragged
 
-#: Counters of the sketch (a power of 2), counters in a row of it, and entries of a token's group before it is cut.
-SKETCH, SKETCH_ROW, GROUP = 1 << 21, 1 << 15, 8192
+#: Counters of the sketch at least and at most (powers of 2), bytes of the input's files for each, counters in a row of it, and entries of a token's group before it is cut.
+SKETCH, SKETCH_MOST, SKETCH_BYTES, SKETCH_ROW, GROUP = 1 << 21, 1 << 24, 256, 1 << 15, 8192
+#: Bits of a bitmap of keys (a power of 2), and in a row of it.
+KEY_BITS, KEY_ROW = 1 << 24, 1 << 18
 #: Classes of a cluster that one task takes, and tokens of a trie's node.
 CLUSTER, NODE = 2048, 64
 #: Group sizes up to which bounds on pairs are tried before bitmaps are fetched.
@@ -68,15 +71,22 @@ def unpacked_counts(packed: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8 if len(raw) == SKETCH_ROW else np.uint32).astype(np.uint64)
 
 
+def sketch_counters(size: int) -> int:
+    """Counters for an input of ``size`` bytes of files, so that one stands for about as many shingles whatever the size."""
+    if size >= 1 << 60:  # not known
+        return SKETCH
+    return min(SKETCH_MOST, max(SKETCH, 1 << (size // SKETCH_BYTES).bit_length()))
+
+
 def sketch_levels(docs: DataFrame, size: int) -> np.ndarray:
-    """Levels (log2 of counts) of hashed shingles over all documents: an array of SKETCH bytes."""
+    """Levels (log2 of counts) of hashed shingles over all documents: an array of ``sketch_counters`` bytes."""
+    counters = sketch_counters(file_bytes(docs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.uint32)
+        total = np.zeros(counters, np.uint32)
         for block in blocks(batches, "__text"):
-            sets = list(shingle_sets(block, size))
-            if sets:
-                total += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+            for s in shingle_sets(block, size):
+                np.add.at(total, (s & np.uint64(counters - 1)).astype(np.int64), np.uint32(1))
         if total.any():
             rows = total.reshape(-1, SKETCH_ROW)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([packed_counts(r) for r in rows], pa.binary())], names=["part", "counts"])
@@ -92,15 +102,19 @@ def sketch_levels(docs: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["part", "counts"])
 
     parts = docs.select("__text").mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(add, "part int, counts binary")
-    out = np.zeros(SKETCH, np.uint8)
-    for r in parts.collect():  # SKETCH bytes in all, whatever the table's size
+    out = np.zeros(counters, np.uint8)
+    for r in parts.collect():  # SKETCH_MOST bytes in all at most
         out[r["part"] * SKETCH_ROW : (r["part"] + 1) * SKETCH_ROW] = np.frombuffer(r["counts"], np.uint8)
     return out
 
 
 def ordered(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The tokens of a sorted set in the global order."""
-    return tokens[np.argsort(levels[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")]
+    return tokens[np.argsort(level_of(tokens, levels), kind="stable")]
+
+
+def level_of(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return levels[(tokens & np.uint64(len(levels) - 1)).astype(np.int64)]
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -115,11 +129,90 @@ def parity_bits(tokens: np.ndarray) -> bytes:
 
 
 def fold(bits: np.ndarray, words: int) -> np.ndarray:
-    while len(bits) > words:
-        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    """Parities (the last axis) brought to ``words`` words."""
+    while (n := bits.shape[-1]) > words:
+        bits = bits[..., : n // 2] ^ bits[..., n // 2 :]
     return bits
 
 
+class Signs:
+    """Parity bits of a group's sets; two sets meet at the length of the shorter ones, whatever else is in the group."""
+
+    def __init__(self, raw: list[bytes]):
+        self.words = np.array([len(x) // 8 for x in raw])
+        self.place, self.folded = np.zeros(len(raw), np.int64), {}
+        for w in np.unique(self.words).tolist():
+            of = np.flatnonzero(self.words == w)
+            self.place[of] = np.arange(len(of))
+            self.folded[w, w] = np.frombuffer(b"".join(raw[i] for i in of.tolist()), np.uint64).reshape(len(of), w)
+
+    def _at(self, own: int, words: int) -> np.ndarray:
+        if (own, words) not in self.folded:
+            self.folded[own, words] = fold(self.folded[own, own], words)
+        return self.folded[own, words]
+
+    def differ(self, q: int, others: np.ndarray) -> np.ndarray:
+        """In how many tokens set ``q`` and each of ``others`` differ, at least."""
+        out, mine = np.zeros(len(others), np.int64), int(self.words[q])
+        for w in np.unique(self.words[others]).tolist():
+            which = self.words[others] == w
+            m = min(w, mine)
+            out[which] = np.bitwise_count(self._at(w, m)[self.place[others[which]]] ^ self._at(mine, m)[self.place[q]]).sum(axis=1)
+        return out
+
+
+def key_bits(keys: DataFrame) -> np.ndarray:
+    """A bitmap of ``keys`` (one long column): a key without a bit there is not among them."""
+
+    def packed(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        rows = [zstandard.ZstdCompressor(level=1).compress(np.packbits(x, bitorder="little").tobytes()) for x in parts.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array(rows, pa.binary())], names=["part", "bits"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(KEY_BITS, bool)
+        for batch in batches:
+            seen[key_place(batch.column(0).drop_null().to_numpy())] = True
+        parts = {i: x for i, x in enumerate(seen.reshape(-1, KEY_ROW)) if x.any()}
+        if parts:
+            yield packed(parts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                row = unpacked_bits(bits)
+                parts[part] = parts[part] | row if part in parts else row
+        if parts:
+            yield packed(parts)
+
+    out = np.zeros(KEY_BITS, bool)
+    for r in keys.mapInArrow(mark, "part int, bits binary").repartition("part").mapInArrow(add, "part int, bits binary").collect():  # KEY_BITS bits in all at most
+        out[r["part"] * KEY_ROW : (r["part"] + 1) * KEY_ROW] = unpacked_bits(r["bits"])
+    return np.packbits(out, bitorder="little")
+
+
+def unpacked_bits(packed: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8), bitorder="little").astype(bool)
+
+
+def key_place(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) & np.uint64(KEY_BITS - 1)).astype(np.int64)
+
+
+def among(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The rows of ``docs`` (``__key``, ``__text``) with a bit in ``key_bits``, and those without a key."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            place = key_place(batch.column(0).fill_null(0).to_numpy())
+            there = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+            yield batch.filter(pc.or_(batch.column(0).is_null(), pa.array(there.astype(bool))))
+
+    return docs.select("__key", "__text").mapInArrow(run, "__key long, __text string")
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     got = [b for b in batches if b.num_rows]
     return pa.Table.from_batches(got).combine_chunks() if got else None
@@ -180,9 +273,7 @@ def candidate_edges(t: Threshold):
         for rows in np.split(order, changes):
             if len(rows) < 2:
                 continue
-            raw = [np.frombuffer(bits[r], np.uint64) for r in rows.tolist()]
-            words = min(map(len, raw))
-            sign = np.stack([fold(x, words) for x in raw])
+            signs = Signs([bits[r] for r in rows.tolist()])
             size, place, names = n[rows], at[rows], cls[rows]
             left = np.arange(len(rows))
             while len(left) > 1:  # breadth first from the first class left
@@ -193,7 +284,7 @@ def candidate_edges(t: Threshold):
                     need = t.overlap(size[q], size[left])
                     ok = (most >= need) & (np.minimum(size[q], size[left]) >= t.smallest(np.maximum(size[q], size[left])))
                     at_most = size[q] + size[left] - 2 * need  # tokens in which linked sets can differ
-                    ok[ok] = np.bitwise_count(sign[left[ok]] ^ sign[q]).sum(axis=1) <= at_most[ok]
+                    ok[ok] = signs.differ(q, left[ok]) <= at_most[ok]
                     found = left[ok]
                     a += [names[q]] * len(found)
                     b += names[found].tolist()
@@ -333,7 +424,7 @@ def verified_links(t: Threshold, levels):
             sets = [np.frombuffer(tokens[r].as_py(), np.uint64) for r in rows.tolist()]
             distinct, inverse = np.unique(np.concatenate(sets), return_inverse=True)
             rank = np.empty(len(distinct), np.int64)
-            rank[np.lexsort((distinct, level[(distinct & np.uint64(SKETCH - 1)).astype(np.int64)]))] = np.arange(len(distinct))
+            rank[np.lexsort((distinct, level_of(distinct, level)))] = np.arange(len(distinct))
             ranks = [np.sort(x) for x in np.split(rank[inverse], np.cumsum([len(s) for s in sets])[:-1])]
             sides = side[rows]
             for i, j in trie_links(ranks, t, sides if len(np.unique(sides)) > 1 else None):
@@ -368,7 +459,7 @@ def grouped_rows(docs: DataFrame, size: int, threshold: tuple[int, int]) -> Data
                 seen.add(cls)
                 s = ordered(s, level)[: t.prefix(n)]
                 # A token that may be in very many sets has cells: pairs of blocks of its classes.
-                side = np.maximum(1, (1 << level[(s & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64)) // GROUP)
+                side = np.maximum(1, (1 << level_of(s, level).astype(np.int64)) // GROUP)
                 own = (cls & 0x7FFFFFFFFFFFFFFF) % side
                 other = ragged(side)
                 own, wide = np.repeat(own, side), np.repeat(side, side)
@@ -387,7 +478,7 @@ def grouped_rows(docs: DataFrame, size: int, threshold: tuple[int, int]) -> Data
     roots = clusters.groupBy("root").agg((F.count("*") + 1).alias("size"))
     members = clusters.unionByName(roots.select(F.col("root").alias("node"), "root")).join(roots, "root").select(F.col("node").alias("cls"), F.col("root").alias("cluster"), "size")
     # One text for each class: that of its smallest key (or all of its texts without a key).
-    wanted = members.join(classes.select("cls", "rep"), "cls")
+    wanted = stored(members.join(classes.select("cls", "rep"), "cls"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "__text"):
@@ -400,7 +491,8 @@ def grouped_rows(docs: DataFrame, size: int, threshold: tuple[int, int]) -> Data
     own = F.pmod(F.col("cls"), side)
     cells = wanted.withColumn("sides", side).withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
     cells = cells.select("cls", "rep", "cluster", "side", (F.least("side", "other") * F.col("sides") + F.greatest("side", "other")).alias("cell"))
-    texts = docs.join(cells, docs["__key"].eqNullSafe(cells["rep"])).select("__text", "cls", "cluster", "cell", "side")
+    some = among(docs, key_bits(wanted.select("rep")))  # the other texts are not shuffled
+    texts = some.join(cells, some["__key"].eqNullSafe(cells["rep"])).select("__text", "cls", "cluster", "cell", "side")
     whole = texts.mapInArrow(sets_of, "cls long, cluster long, cell long, side long, tokens binary")
     links = dealt(whole, "cluster", "cell", source=docs).mapInArrow(verified_links(t, levels), "a long, b long")
     linked = components(links)

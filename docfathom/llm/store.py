@@ -49,6 +49,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_bytes(df: DataFrame) -> int:
+    """The size of the files that ``df`` reads, as its plan knows it; very large where it doesn't."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def dealt(df: DataFrame, *columns: str, source: DataFrame, times: float = 1.0) -> DataFrame:
     """``df`` dealt by ``columns``, to as many tasks as the session says, or more where ``source`` is large.
 
@@ -56,7 +61,7 @@ def dealt(df: DataFrame, *columns: str, source: DataFrame, times: float = 1.0) -
     number of tasks depends on it.
     """
     spark = df.sparkSession
-    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = file_bytes(source)
     tasks = int(size * UNPACKED * times // TASK_BYTES)
     few = tasks <= int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(*columns) if few or size >= 1 << 60 else df.repartition(tasks, *columns)  # tables without files have no known size
