@@ -174,7 +174,7 @@ def hybrid_rank(spark: SparkSession, sf: str) -> DataFrame:
     provider = LocalProvider()
     docs, asked = chunks(spark, sf), questions(spark, sf)
     vectors = embed(docs.select("id", "position", "content"), "content", provider)
-    return R.hybrid(docs, asked, vectors, embed(asked, "question", provider), ORIGIN).select("query_id", "id", "rank", "strategy", F.round("rerank_score", 6).alias("score"))
+    return R.hybrid(docs, asked, vectors, embed(asked, "question", provider), ORIGIN, embedded=True).select("query_id", "id", "rank", "strategy", F.round("rerank_score", 6).alias("score"))
 
 
 @query()
